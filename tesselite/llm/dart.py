@@ -13,14 +13,14 @@ Documents are sets of five-word shingles (lower case, split at white space);
 weights are 1 ("presence", Jaccard of sets) or how often a shingle stands
 there ("count").  A shorter text is one shingle.  Equal texts become one
 node first.  Nodes that share a band of a signature are compared exactly by their
-shingles, in three steps that neither list all pairs of a bucket nor lose one:
+shingles, in two steps that neither list all pairs of a bucket nor lose one:
 
 1. each member of a bucket with the bucket's pivot, its member that shares most
    bands with others;
 2. where a member stays outside the pivot's component, it meets all members of
-   its bucket in blocks of signatures, and pairs whose signatures agree as
-   often as a similarity of ``SIMILARITY`` makes all but certain go on;
-3. these are compared exactly as well.
+   its bucket, in blocks: where signatures agree as often as a similarity of
+   ``SIMILARITY`` makes all but certain, the shingles are compared at once, and
+   only links leave the block.
 
 Classes are the components of all pairs with a similarity of ``SIMILARITY`` or more,
 named by their least doc_id.
@@ -52,9 +52,11 @@ COORDINATES = BANDS * ROWS
 LEAST_AGREEMENT = 0.65
 #: First region of ranks; the next ones double.
 FIRST_RANK = 2.0**-4
-#: Members of a bucket that meet in one block, and members compared with one copy of a pivot's shingles.
-BLOCK = 1024
+#: Members compared with one copy of a pivot's shingles.
 STAR = 256
+#: Members that are held at once where a pivot left some outside, and members that come by in one task.
+HELD = 512
+PASSING = 2048
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _POLY = 0x100000001B3
@@ -215,6 +217,16 @@ def _sets(documents: DataFrame, wanted: DataFrame, weighting: str) -> DataFrame:
     return materialise(made.groupBy("node").agg(F.first("items").alias("items")), "shingles")
 
 
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets' Jaccard similarity is as high."""
+    short, long = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(short) or len(short) < similarity * len(long) - 1e-9:
+        return False
+    at = np.searchsorted(long, short)
+    both = int((long[np.minimum(at, len(long) - 1)] == short).sum())
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
 def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are as similar.  Sets of many a meet one copy of b's set at a time: they are sorted
     behind it in their partition, and a b with many a has several copies."""
@@ -233,11 +245,7 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 if role == 0:
                     pivot = own
                     continue
-                # how many of the shorter set's items the longer one has
-                short, long = (own, pivot) if len(own) <= len(pivot) else (pivot, own)
-                at = np.searchsorted(long, short)
-                both = int((long[np.minimum(at, len(long) - 1)] == short).sum()) if len(long) else 0
-                if both and both >= similarity * (len(own) + len(pivot) - both) - 1e-9:
+                if similar(own, pivot, similarity):
                     a.append(other)
                     b.append(node)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
@@ -245,47 +253,49 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_texts(rows, run, "a binary, b binary")
 
 
-def _rest(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket but different components, neither of which is the pivot, whose signatures agree often
-    enough.  members: bucket, node, n, pivot, component, home (the pivot's component)."""
-    outside = F.col("component") != F.col("home")
-    open_buckets = members.groupBy("bucket").agg(F.max(outside).alias("open")).filter("open").select("bucket")
-    rows = members.filter((F.col("n") > 2) & (F.col("node") != F.col("pivot"))).join(open_buckets, "bucket").join(sigs.select("node", "sig"), "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    shared = ["bucket", "node", "component", "sig"]
-    asking = rows.filter(outside).select(*shared, own.alias("i"), every.alias("j"), F.lit(0).alias("role"))
-    asked = rows.select(*shared, own.alias("j"), every.alias("i"), F.lit(1).alias("role"))
-    dealt = asking.unionByName(asked.select(*asking.columns)).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "role").select("bucket", "i", "j", "role", "node", "component", "sig")
-    least = int(np.ceil(LEAST_AGREEMENT * COORDINATES))
+def _rest(members: DataFrame, sigs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of one bucket that its pivot left in different components.  members: bucket, node, n,
+    pivot, component, home (the pivot's component).
+
+    Members outside their bucket's home meet all members of its bucket.  They are dealt by home, which many buckets of
+    one group share, so that a pair meets once; those outside are held in parts of HELD, and the others come by in
+    parts of PASSING, each first by its signature and then exactly.  Pairs are never rows: only links come out."""
+    outside = (F.col("component") != F.col("home")) & (F.col("n") > 2) & (F.col("node") != F.col("pivot"))
+    ask = members.filter(outside).select("bucket", "home", "node", "component")
+    held = ask.select("home", "node", "component").distinct()
+    held = held.join(held.groupBy("home").agg(F.ceil(F.count("*") / HELD).alias("parts")), "home").withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")))
+    asked = members.select("bucket", "node", "component").join(ask.select("bucket", "home").distinct(), "bucket").select("home", "node", "component").distinct()
+    asked = asked.join(held.groupBy("home").agg(F.max("parts").alias("parts")), "home")
+    blocks = asked.groupBy("home").agg(F.ceil(F.count("*") / PASSING).alias("blocks"))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = held.join(blocks, "home").withColumn("j", up_to("blocks")).withColumn("role", F.lit(0))
+    asked = asked.join(blocks, "home").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).withColumn("i", up_to("parts")).withColumn("role", F.lit(1))
+    key = ["home", "i", "j", "role"]
+    known = sigs.select("node", "sig").join(sets, "node")
+    rows = held.select(*key, "node", "component").unionByName(asked.select(*key, "node", "component")).join(known, "node")
+    dealt = rows.select(*key, "node", "component", "sig", "items").repartition("home", "i", "j").sortWithinPartitions(*key)
+    columns, least = dealt.columns, int(np.ceil(LEAST_AGREEMENT * COORDINATES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, nodes, homes = None, None, [], []
+        at, own, table = None, [], None
         for batch in batches:
             a, b = [], []
-            for bucket, i, j, role, node, component, sig in zip(*(batch.column(c).to_pylist() for c in dealt_columns), strict=True):
-                if key != (bucket, i, j):
-                    key, held, nodes, homes = (bucket, i, j), None, [], []
-                    own_sigs: list[bytes] = []
+            for home, i, j, role, node, component, sig, items in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if at != (home, i, j):
+                    at, own, table = (home, i, j), [], None
+                mine = np.frombuffer(items, np.uint64)
                 if role == 0:
-                    nodes.append(node)
-                    homes.append(component)
-                    own_sigs.append(sig)
-                    held = None
-                    continue
-                if not nodes:
+                    own.append((node, component, sig, mine))
                     continue
-                if held is None:
-                    held = np.frombuffer(b"".join(own_sigs), np.uint8).reshape(len(nodes), -1)
-                for k in np.flatnonzero((held == np.frombuffer(sig, np.uint8)).sum(axis=1) >= least).tolist():
-                    if homes[k] != component:
-                        a.append(min(node, nodes[k]))
-                        b.append(max(node, nodes[k]))
+                if table is None:
+                    table = np.frombuffer(b"".join(o[2] for o in own), np.uint8).reshape(len(own), -1)
+                for k in np.flatnonzero((table == np.frombuffer(sig, np.uint8)).sum(axis=1) >= least).tolist():
+                    if own[k][1] != component and similar(own[k][3], mine, similarity):
+                        a.append(node)
+                        b.append(own[k][0])
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    dealt_columns = dealt.columns
-    return map_texts(dealt, run, "a binary, b binary").distinct()
+    return map_texts(dealt, run, "a binary, b binary")
 
 
 def classes(documents: DataFrame, *, similarity: float = SIMILARITY, weighting: str = "presence") -> DataFrame:
@@ -304,7 +314,7 @@ def classes(documents: DataFrame, *, similarity: float = SIMILARITY, weighting:
     named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     home = found.select(F.col("node").alias("pivot"), F.col("component").alias("home"))
     named = named.join(home, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
-    more = materialise(verify(_rest(named, sigs), sets, similarity), "links")
+    more = materialise(_rest(named, sigs, sets, similarity), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     whole = sigs.select("node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
