@@ -64,16 +64,16 @@ WITH named AS (
 ), keyed AS (
   SELECT *, host || path || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END AS key, md5(html) AS digest FROM parts
 ), responses AS (
-  SELECT key, page_id * 10 AS at, page_id * 2 AS record_id, digest, 'day ' || (page_id % 365) AS last_modified, length(html) AS n FROM keyed
+  SELECT key, page_id * 10 AS tm, page_id * 2 AS record_id, digest, 'day ' || (page_id % 365) AS last_modified, length(html) AS n FROM keyed
 ), revisits AS (
-  SELECT key, page_id * 10 + 10 * (1 + page_id % 97) + 5 AS at, page_id * 2 + 1 AS record_id,
+  SELECT key, page_id * 10 + 10 * (1 + page_id % 97) + 5 AS tm, page_id * 2 + 1 AS record_id,
     CASE WHEN page_id % 7 = 0 THEN '"changed"' WHEN page_id % 7 < 4 THEN '"' || digest || '"' END AS etag,
     CASE WHEN page_id % 7 = 4 THEN 'day ' || (page_id % 365) END AS last_modified, CASE WHEN page_id % 7 = 5 THEN digest END AS digest
   FROM keyed
 ), met AS (
   SELECT v.*, r.record_id AS base_id, r.digest AS base_digest, r.last_modified AS base_modified, r.n,
-    row_number() OVER (PARTITION BY v.record_id ORDER BY r.at DESC, r.record_id DESC) AS k
-  FROM revisits v LEFT JOIN responses r ON v.key = r.key AND r.at < v.at
+    row_number() OVER (PARTITION BY v.record_id ORDER BY r.tm DESC, r.record_id DESC) AS k
+  FROM revisits v LEFT JOIN responses r ON v.key = r.key AND r.tm < v.tm
 ), judged AS (
   SELECT *, CASE WHEN base_id IS NULL THEN 'no_base'
     WHEN etag IS NOT NULL THEN CASE WHEN etag = '"' || base_digest || '"' THEN 'match' ELSE 'mismatch' END
@@ -83,7 +83,7 @@ WITH named AS (
   FROM met WHERE k = 1
 )
 SELECT record_id, base_id, outcome, CASE WHEN outcome = 'match' THEN
-  'cache-control: max-age=3600; content-length: ' || n || '; content-type: text/html; date: ' || at || '; expires: ' || (at + 3600) END AS headers
+  'cache-control: max-age=3600; content-length: ' || n || '; content-type: text/html; date: ' || tm || '; expires: ' || (tm + 3600) END AS headers
 FROM judged
 """
 

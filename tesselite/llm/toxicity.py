@@ -255,10 +255,15 @@ def learn_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float],
     shared = by_word.filter(longer & (F.col("t") > 0)).select(F.explode(prefixes).alias("term"), "t").groupBy("term").agg(F.count("*").alias("kinds"), F.max("t").alias("top"), F.sum("t").alias("all"))
     stems = passed(by_stem.join(shared.filter((F.col("kinds") >= STEM_WORDS) & (F.col("top") * 2 <= F.col("all"))), "term"))
     weigh = lambda r: min(1.0, math.log(r["share"] / (1 - r["share"])) / 6)
+    known = {r["term"]: r for r in stems.collect()}
     kept: dict[str, float] = {}
-    for r in sorted(stems.collect(), key=lambda r: (len(r["term"]), r["term"])):
-        if not any(r["term"][:n] in kept for n in range(1, len(r["term"]))):
-            kept[r["term"]] = weigh(r)
+    for term in sorted(known, key=lambda t: (len(t), t)):
+        if any(term[:n] in kept for n in range(1, len(term))) or any(term.startswith(k) or k.startswith(term) for k in kept):
+            continue
+        # as long as one longer stem stands in just as many documents, it is the better one
+        while longer_ones := [t for t in known if len(t) == len(term) + 1 and t.startswith(term) and (known[t]["t"], known[t]["c"]) == (known[term]["t"], known[term]["c"])]:
+            term = longer_ones[0]
+        kept[term] = weigh(known[term])
     words = {r["term"]: weigh(r) for r in passed(by_word).collect() if not any(r["term"][:n] in kept for n in range(1, len(r["term"]) + 1))}
     return words, kept, int(n1), int(n0)
 
