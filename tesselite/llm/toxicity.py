@@ -37,8 +37,8 @@ from tesselite.llm.tokens import Generations
 TRAIN_ROWS = 8000
 #: Least likelihood ratio (G squared) of a term, and least share of toxic documents among those that hold it, both
 #: classes counting alike.
-LEAST_G = 20.0
-LEAST_SHARE = 0.95
+LEAST_G = 25.0
+LEAST_SHARE = 0.85
 #: A stem has so many characters, and so many words share it.
 STEM = (4, 8)
 STEM_WORDS = 4
@@ -232,14 +232,17 @@ def context(text: str, start: int, end: int) -> float:
 
 
 def learn_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], int, int]:
-    """Words and stems with weights, and how many documents of either class there were.  Counting is distributed; what
+    """Words and stems with weights, and how many documents, copies apart, of either class there were.  Counting is distributed; what
     reaches the driver passed the bounds and is at most TERMS of each kind."""
-    tokens = sample.select("doc_id", "y", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}]+"))).alias("term")).filter(F.length("term").between(3, 40))
-    n1, n0 = (sample.agg(F.sum("y"), F.sum(1 - F.col("y"))).first() or (0, 0))[:2]
-    n1, n0 = n1 or 0, n0 or 0
+    split = sample.select("y", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}]+").alias("w"))
+    # copies of one document are likely to share the least hash of their word pairs, and count as one
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.xxhash64(F.try_element_at("w", i), F.try_element_at("w", i + 1)))
+    docs = split.select("y", F.array_distinct("w").alias("terms"), F.array_min(pairs).alias("kin"))
+    tokens = docs.select("kin", "y", F.explode("terms").alias("term")).filter(F.length("term").between(3, 40))
+    n1, n0 = docs.agg(F.count_distinct(F.when(F.col("y") == 1, F.col("kin"))), F.count_distinct(F.when(F.col("y") == 0, F.col("kin")))).first()
     if not n1 or not n0:
         return {}, {}, n1, n0
-    counts = [F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")]
+    counts = [F.count_distinct(F.when(F.col("y") == 1, F.col("kin"))).alias("t"), F.count_distinct(F.when(F.col("y") == 0, F.col("kin"))).alias("c")]
 
     def passed(df: DataFrame) -> DataFrame:
         t, c = F.col("t").cast("double"), F.col("c").cast("double")
@@ -251,19 +254,16 @@ def learn_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float],
     by_word = tokens.groupBy("term").agg(*counts)
     prefixes = F.transform(F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("term") - 1)), lambda n: F.substring("term", F.lit(1), n))
     longer = F.length("term") > STEM[0]
-    by_stem = tokens.filter(longer).select("doc_id", "y", F.explode(prefixes).alias("term")).distinct().groupBy("term").agg(*counts)
+    by_stem = tokens.filter(longer).select("kin", "y", F.explode(prefixes).alias("term")).distinct().groupBy("term").agg(*counts)
     shared = by_word.filter(longer & (F.col("t") > 0)).select(F.explode(prefixes).alias("term"), "t").groupBy("term").agg(F.count("*").alias("kinds"), F.max("t").alias("top"), F.sum("t").alias("all"))
     stems = passed(by_stem.join(shared.filter((F.col("kinds") >= STEM_WORDS) & (F.col("top") * 2 <= F.col("all"))), "term"))
     weigh = lambda r: min(1.0, math.log(r["share"] / (1 - r["share"])) / 6)
     known = {r["term"]: r for r in stems.collect()}
     kept: dict[str, float] = {}
-    for term in sorted(known, key=lambda t: (len(t), t)):
-        if any(term[:n] in kept for n in range(1, len(term))) or any(term.startswith(k) or k.startswith(term) for k in kept):
-            continue
-        # as long as one longer stem stands in just as many documents, it is the better one
-        while longer_ones := [t for t in known if len(t) == len(term) + 1 and t.startswith(term) and (known[t]["t"], known[t]["c"]) == (known[term]["t"], known[term]["c"])]:
-            term = longer_ones[0]
-        kept[term] = weigh(known[term])
+    # of stems that begin alike the one with the highest ratio stays, and of equals the longest
+    for term in sorted(known, key=lambda t: (-known[t]["g"], -len(t), t)):
+        if not any(term.startswith(k) or k.startswith(term) for k in kept):
+            kept[term] = weigh(known[term])
     words = {r["term"]: weigh(r) for r in passed(by_word).collect() if not any(r["term"][:n] in kept for n in range(1, len(r["term"]) + 1))}
     return words, kept, int(n1), int(n0)
 
