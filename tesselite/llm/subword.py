@@ -140,20 +140,26 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, mod: in
     return documents.select(F.col("doc_id"), F.col("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
 
 
-def bounded(sample: DataFrame, chars: int = TRAIN_CHARS) -> tuple[list[str], list[int]]:
-    """The sample's texts on the driver in the order of their ids, as many as fit in ``chars``."""
-    texts, ys, left = [], [], chars
-    rows = sample.withColumn("_n", F.length("text")).repartition(16, "doc_id").sortWithinPartitions("doc_id", "text").toLocalIterator()
-    for r in rows:
-        if (left := left - (r["_n"] or 0)) < 0:
-            break
-        texts.append(r["text"] or "")
-        ys.append(r["y"])
-    return texts, ys
-
+def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", mod: int = 3, rest: int = 1, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+    """A model trained on the bounded sample, by one task on an executor; the driver gets the buckets' margins alone.
+    The sample is in the order of its ids, and of its texts as many are used as fit in ``chars``."""
+    sample = training_sample(documents, labels, label, mod, rest, rows)
 
-def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", mod: int = 3, rest: int = 1, rows: int = TRAIN_ROWS) -> Model:
-    return train(*bounded(training_sample(documents, labels, label, mod, rest, rows)))
+    def run(batches):
+        texts, ys, left = [], [], chars
+        for b in batches:
+            for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+                if (left := left - len(t or "")) >= 0:
+                    texts.append(t or "")
+                    ys.append(y)
+        model = train(texts, ys)
+        yield pa.RecordBatch.from_pydict({"margin": pa.array([model.margin.tobytes()], pa.binary()), "bias": pa.array([model.bias], pa.float64())})
+
+    # at most ``rows`` rows meet in the one task
+    row = map_texts(sample.select("doc_id", "text", "y").repartition(1).sortWithinPartitions("doc_id", "text"), run, "margin binary, bias double").first()
+    if row is None:
+        return train([], [])
+    return Model(np.frombuffer(bytes(row["margin"]), np.float32), row["bias"])
 
 
 def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -92,7 +92,7 @@ def test_context_and_spelling():
 
 def test_lexicon_is_learned(spark):
     rnd = random.Random(8)
-    words = ["alpha", "beta", "gamma", "delta", "omega", "river", "stone"]
+    words = [f"{a}{b}" for a in ("al", "be", "ga", "de", "om", "ri", "st", "to") for b in ("pha", "ta", "mma", "lta", "ega", "ver", "one", "ck", "ne", "rn")]
     rows = []
     for i in range(400):
         w = [rnd.choice(words) for _ in range(40)]
