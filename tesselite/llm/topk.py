@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 SCALE = 256
 K = 5
 #: Segment counts from coarse to fine; a vector shorter than that isn't split so far.
-LEVELS = (1, 4, 16)
+LEVELS = (1, 4, 16, 32)
 QUERY_BYTES = 32 << 20
 #: Queries and vectors whose bounds are held at once.
 QUERIES_AT_ONCE = 256
@@ -77,10 +77,13 @@ class Best:
 class Searcher:
     """Queries of one length with their statistics."""
 
+    #: Share of surviving pairs from which on one matrix product is cheaper than their own products.
+    DENSE = 0.02
+
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int = K):
         self.ids, self.x = ids, vectors.astype(np.float64)
         self.levels = sorted({min(s, vectors.shape[1]) for s in LEVELS})
-        self.stats = [statistics(self.x, s) for s in self.levels]
+        self.stats = [statistics(self.x, s).astype(np.float32) for s in self.levels]
         self.norm = (self.x * self.x).sum(axis=1)
         self.best = Best(len(ids), k)
 
@@ -89,32 +92,41 @@ class Searcher:
             self._meet(ids[a : a + VECTORS_AT_ONCE], vectors[a : a + VECTORS_AT_ONCE])
 
     def _meet(self, ids: np.ndarray, x: np.ndarray) -> None:
-        stats = [statistics(x, s) for s in self.levels]
+        stats = [statistics(x, s).astype(np.float32) for s in self.levels]
         norm = (x * x).sum(axis=1)
         for a in range(0, len(self.ids), QUERIES_AT_ONCE):
-            part = slice(a, a + QUERIES_AT_ONCE)
-            if not np.isfinite(self.best.score[part, -1]).all():
-                self._exact(*np.nonzero(self.ids[part, None] != ids[None, : 8 * self.best.k]), a, ids, x)
-                rest = slice(8 * self.best.k, None)
-            else:
-                rest = slice(0, None)
-            least = self.best.score[part, -1]
-            # squared distance from which on a product can't reach the query's k-th score; room for rounding
-            far = self.norm[part, None] + norm[None, rest] - 2 * least[:, None] + 1e-6 * (1 + self.norm[part, None] + norm[None, rest])
-            lower = self.norm[part, None] + norm[None, rest] - 2 * (self.stats[0][part] @ stats[0][rest].T)
-            q, c = np.nonzero((lower <= far) & (self.ids[part, None] != ids[None, rest]))
-            c += rest.start
-            for mine, theirs in zip(self.stats[1:], stats[1:], strict=True):
-                if not len(q):
-                    break
-                bound = self.norm[a + q] + norm[c] - 2 * _dots(mine, theirs, a + q, c)
-                near = bound <= self.norm[a + q] + norm[c] - 2 * least[q] + 1e-6 * (1 + self.norm[a + q] + norm[c])
-                q, c = q[near], c[near]
-            self._exact(q, c, a, ids, x)
-
-    def _exact(self, q: np.ndarray, c: np.ndarray, a: int, ids: np.ndarray, x: np.ndarray) -> None:
-        if len(q):
-            self.best.add(a + q, _dots(self.x, x, a + q, c), ids[c])
+            q = np.arange(a, min(a + QUERIES_AT_ONCE, len(self.ids)))
+            first = 0
+            if not np.isfinite(self.best.score[q, -1]).all():
+                first = 8 * self.best.k
+                self._exact(q, self.ids[q, None] != ids[None, :first], ids[:first], x[:first])
+            self._block(q, np.arange(first, len(ids)), ids, x, norm, stats)
+
+    def _block(self, q: np.ndarray, c: np.ndarray, ids: np.ndarray, x: np.ndarray, norm: np.ndarray, stats: list[np.ndarray]) -> None:
+        """Queries q and vectors c, by their numbers; rows and columns without a living pair are left behind."""
+        alive = self.ids[q, None] != ids[None, c]
+        for mine, theirs in zip(self.stats, stats, strict=True):
+            # a pair lives while the lower bound of its squared distance, |q|^2 + |x|^2 - 2 * bound, isn't above the
+            # squared distance that the query's k-th score stands for, |q|^2 + |x|^2 - 2 * score; room for rounding
+            least = self.best.score[q, -1] - 1e-3
+            room = 2e-5 * np.sqrt(self.norm[q])[:, None] * np.sqrt(norm[c])[None, :]
+            alive &= mine[q] @ theirs[c].T + room.astype(np.float32) >= least[:, None]
+            rows, columns = alive.any(axis=1), alive.any(axis=0)
+            if not rows.any():
+                return
+            if rows.mean() < 0.8 or columns.mean() < 0.8:
+                q, c, alive = q[rows], c[columns], alive[np.ix_(rows, columns)]
+        self._exact(q, alive, ids[c], x[c])
+
+    def _exact(self, q: np.ndarray, alive: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Integer products of the living pairs."""
+        if alive.mean() >= self.DENSE:
+            score = self.x[q] @ x.T
+            r, c = np.nonzero(alive & (score >= self.best.score[q, -1][:, None]))
+            self.best.add(q[r], score[r, c], ids[c])
+        else:
+            r, c = np.nonzero(alive)
+            self.best.add(q[r], _dots(self.x, x, q[r], c), ids[c])
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q, r = np.nonzero(np.isfinite(self.best.score))
