@@ -136,8 +136,9 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, mod: in
     known = known.filter(~held_out(F.col("_id"), mod, rest)).dropDuplicates(["_id"])
     order = F.xxhash64(F.lit(SEED), "_id")
     picked = known.filter("y = 0").orderBy(order, "_id").limit(rows // 2).unionByName(known.filter("y = 1").orderBy(order, "_id").limit(rows // 2))
-    # at most ``rows`` ids of 12 bytes
-    return documents.select(F.col("doc_id"), F.col("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    # at most ``rows`` ids of 12 bytes; of rows that repeat an id one text counts
+    met = documents.select("doc_id", F.col("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    return met.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", mod: int = 3, rest: int = 1, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:

@@ -160,6 +160,19 @@ def _quantised(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches joined to about VECTORS_AT_ONCE rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= VECTORS_AT_ONCE:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def search(vectors: DataFrame, is_query, *, key: str = "vec_id", column: str = "embedding", k: int = K, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best of all rows for every row for which ``is_query`` (a Column over
     ``id``) holds."""
@@ -168,7 +181,6 @@ def search(vectors: DataFrame, is_query, *, key: str = "vec_id", column: str = "
     asked = every.filter(is_query)
     size = asked.agg(F.sum(F.size("x") * 8 + 8)).first()[0] or 0
     blocks = max(1, -(-size // query_bytes))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     out = None
     for n in range(blocks):
         # one block of queries, about query_bytes
@@ -178,12 +190,11 @@ def search(vectors: DataFrame, is_query, *, key: str = "vec_id", column: str = "
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = {v.shape[1]: Searcher(i, v, k) for i, v in sent.value}
-            for b in batches:
-                if b.num_rows:
-                    vec = b.column("id").to_numpy(zero_copy_only=False)
-                    for rows, v in _quantised(b.column("x")):
-                        if v.shape[1] in own:
-                            own[v.shape[1]].meet(vec[rows], v)
+            for b in _larger(batches):
+                vec = b.column("id").to_numpy()
+                for rows, v in _quantised(b.column("x").combine_chunks()):
+                    if v.shape[1] in own:
+                        own[v.shape[1]].meet(vec[rows], v)
             for s in own.values():
                 q, v, score = s.rows()
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(score, pa.int64())})
