@@ -71,13 +71,9 @@ def signed_extent(tiles: DataFrame, max_zoom: int) -> DataFrame:
 
 
 def normalized(tiles: DataFrame, extent: DataFrame) -> DataFrame:
-    """Tiles shifted so that the extent starts at zero.  The extent is one row."""
-    one = extent.select(F.col("min_x").alias("_mx"), F.col("min_y").alias("_my"))
-    met = tiles.crossJoin(F.broadcast(one))
-    return met.withColumns({"normal_x": F.col("x") - F.col("_mx"), "normal_y": F.col("y") - F.col("_my")}).drop("_mx", "_my")
+    """Tiles shifted so that the extent starts at zero.  The extent is one row, read as scalar subqueries."""
+    return tiles.withColumns({"normal_x": F.col("x") - extent.select("min_x").scalar(), "normal_y": F.col("y") - extent.select("min_y").scalar()})
 
 
 def denormalized(tiles: DataFrame, extent: DataFrame) -> DataFrame:
-    one = extent.select(F.col("min_x").alias("_mx"), F.col("min_y").alias("_my"))
-    met = tiles.crossJoin(F.broadcast(one))
-    return met.withColumns({"x": F.col("normal_x") + F.col("_mx"), "y": F.col("normal_y") + F.col("_my")}).drop("_mx", "_my")
+    return tiles.withColumns({"x": F.col("normal_x") + extent.select("min_x").scalar(), "y": F.col("normal_y") + extent.select("min_y").scalar()})

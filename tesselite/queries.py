@@ -177,8 +177,8 @@ def children(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalized_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.stored_tiles(spark, sf_dir)
     e = t.signed_extent(s, 8)
-    size = e.select((F.col("max_x") - F.col("min_x")).alias("width"), (F.col("max_y") - F.col("min_y")).alias("height"))
-    return t.normalized(s, e).crossJoin(F.broadcast(size)).select("zoom", "x", "y", "normal_x", "normal_y", "width", "height")
+    size = {"width": e.select(F.col("max_x") - F.col("min_x")).scalar(), "height": e.select(F.col("max_y") - F.col("min_y")).scalar()}
+    return t.normalized(s, e).withColumns(size).select("zoom", "x", "y", "normal_x", "normal_y", "width", "height")
 
 
 @query(f"WITH {BOXES} SELECT box_id, CAST(x0 * 2 AS DOUBLE) AS px, CAST(-z0 * 2 AS DOUBLE) AS py, CAST(x0 AS DOUBLE) AS back_x, CAST(z0 AS DOUBLE) AS back_z, -z0 - 1 AS flipped FROM bx")

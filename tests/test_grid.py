@@ -72,3 +72,11 @@ def test_client_extent_and_rows(spark):
     y = g.client_tile_y(g.client_tile_y(F.col("id")))
     assert one.select(g.client_tile_y(F.lit(5)).alias("a"), y.alias("b")).first()[:] == (-6, 0)
     assert one.select(g.resolutions(Grid(max_zoom=3))).first()[0] == [8.0, 4.0, 2.0, 1.0]
+
+
+def test_normalized_tiles_come_back(spark):
+    tiles = spark.createDataFrame([("d", 8, -3, 4), ("d", 8, 2, -5)], "dimension string, zoom int, x long, y long")
+    e = t.signed_extent(tiles, 8)
+    n = t.normalized(tiles, e)
+    assert {(r.normal_x, r.normal_y) for r in n.collect()} == {(0, 9), (5, 0)}
+    assert {(r.x, r.y) for r in t.denormalized(n.drop("x", "y"), e).collect()} == {(-3, 4), (2, -5)}
