@@ -90,3 +90,10 @@ def test_png_round_trip(spark):
     for image in (np.zeros((4, 4), np.int64), rnd.integers(0, 5, (16, 16)) + 0xFF000000, rnd.integers(0, 1 << 32, (32, 32))):
         data = png.encode(image.astype(np.int64))
         assert (png.decode(data) == image).all() and data[:4] == b"\x89PNG"
+
+
+def test_slices_and_pending(spark):
+    rows = spark.createDataFrame([("d", x, y, 1, 0.0, 0, 0, "k") for x in range(4) for y in range(4)], PIXEL)
+    got = {(r.px, r.py) for r in raster.sliced(rows, 1, 2, 2, 1).collect()}
+    assert got == {(0, 0), (1, 0)}
+    assert spark.range(1).select(raster.pending(Grid(tile_size=4, pixels_per_block=1))).first()[0] == [0] * 16
