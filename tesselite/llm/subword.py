@@ -30,7 +30,7 @@ DIM = 8
 EPOCHS = 4
 RATE = 0.5
 #: At most so many labelled documents are trained on, half of them of each class where there are enough.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 #: And at most so many characters of them, in the order of the sample; a document is used whole or not at all.
 TRAIN_CHARS = 40_000_000
 SEED = 20240131
@@ -98,8 +98,8 @@ def train(texts: list[str], labels: list[int], *, dim: int = DIM, epochs: int =
     if len(y) == 0 or share in (0.0, 1.0):
         share = min(0.999, max(0.001, share))
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    docs = [np.unique(features(t), return_counts=True) for t in texts]
-    docs = [(i, (n / max(1, n.sum())).astype(np.float32)) for i, n in docs]
+    # five bytes for each distinct feature of a document; a feature counts up to 255 times
+    docs = [(i, np.minimum(n, 255).astype(np.uint8)) for i, n in (np.unique(features(t), return_counts=True) for t in texts)]
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
@@ -107,7 +107,8 @@ def train(texts: list[str], labels: list[int], *, dim: int = DIM, epochs: int =
     steps, done = epochs * len(docs), 0
     for _ in range(epochs):
         for k in rng.permutation(len(docs)):
-            ids, part = docs[k]
+            ids, n = docs[k]
+            part = n.astype(np.float32) / np.float32(max(1, n.sum(dtype=np.int64)))
             mean = part @ table[ids] if len(ids) else np.zeros(dim, np.float32)
             z = mean @ out + bias
             p = np.exp(z - z.max())

@@ -18,7 +18,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Entries of one of the cache's two generations.
-CHUNKS = 800_000
+CHUNKS = 600_000
 #: Texts that are looked up together.
 TOGETHER = 64
 VOCABULARY = "word_bpe_49k.json"
