@@ -1,8 +1,9 @@
 """Supervised subword embeddings for document quality.
 
-A document's features are its words, its word pairs and its character
-3-, 4- and 5-grams, hashed into ``BUCKETS`` rows of an embedding table.  The mean
-of those rows goes through a softmax over two classes.  Training is stochastic
+A document's features are its words, its word pairs (all pairs of equal words are
+one feature) and its character 3-, 4- and 5-grams, hashed into ``BUCKETS`` rows of an
+embedding table.  The mean of those rows, and of ``EMPTY`` rows of zeros that keep
+the shortest texts near the bias, goes through a softmax over two classes.  Training is stochastic
 gradient descent in numpy over a bounded sample of labelled documents; scoring
 is distributed.  As mean and output layer are linear, scoring needs one number
 for each bucket, so that executors get a table of fixed size.
@@ -33,6 +34,8 @@ RATE = 0.5
 TRAIN_ROWS = 4000
 #: And at most so many characters of them, in the order of the sample; a document is used whole or not at all.
 TRAIN_CHARS = 40_000_000
+#: Zero rows in every document's mean.
+EMPTY = 60
 SEED = 20240131
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -74,7 +77,8 @@ def features(text: str | None) -> np.ndarray:
     total = np.cumsum((c + np.uint64(1)) * power[: len(c)])
     word = (total[ends[1:] - 1] - total[ends[:-1]]) * inverse[ends[:-1] + 1]
     parts.append(word * _M + np.uint64(7))
-    parts.append((word[:-1] * np.uint64(3) + word[1:]) * _M + np.uint64(11))
+    pair = np.where(word[:-1] == word[1:], np.uint64(1), word[:-1] * np.uint64(3) + word[1:])
+    parts.append(pair * _M + np.uint64(11))
     return (np.concatenate(parts) >> np.uint64(64 - 18)).astype(np.uint32)
 
 
@@ -87,7 +91,7 @@ class Model:
 
     def score(self, text: str | None) -> float:
         ids = features(text)
-        z = self.bias + (float(self.margin[ids].mean(dtype=np.float64)) if len(ids) else 0.0)
+        z = self.bias + (float(self.margin[ids].sum(dtype=np.float64)) / (len(ids) + EMPTY))
         return 1.0 / (1.0 + float(np.exp(-max(-500.0, min(500.0, z)))))
 
 
@@ -108,7 +112,7 @@ def train(texts: list[str], labels: list[int], *, dim: int = DIM, epochs: int =
     for _ in range(epochs):
         for k in rng.permutation(len(docs)):
             ids, n = docs[k]
-            part = n.astype(np.float32) / np.float32(max(1, n.sum(dtype=np.int64)))
+            part = n.astype(np.float32) / np.float32(n.sum(dtype=np.int64) + EMPTY)
             mean = part @ table[ids] if len(ids) else np.zeros(dim, np.float32)
             z = mean @ out + bias
             p = np.exp(z - z.max())
