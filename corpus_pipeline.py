@@ -11,14 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselite.llm import dart, mixing, packing, secrets, subword
-from tesselite.llm._util import materialise, table
+from tesselite.llm._util import materialise, table, whole_row
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects (score below one half)."""
     model = subword.fit(docs, table(spark, sf_dir, "labels"))
-    columns = tuple(docs.columns)
-    inner = docs.select(F.struct(*columns).alias("_doc"), F.col("text"))
+    inner = docs.select(whole_row(docs).alias("_doc"), F.col("text"))
     return subword.score(inner, model, keep=("_doc",)).filter("score >= 0.5").select("_doc.*")
 
 
@@ -30,11 +29,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret found by a mark; n_chars follows the text."""
     columns = docs.columns
-    inner = docs.select(F.struct(*columns).alias("_doc"), F.col("text"))
+    inner = docs.select(whole_row(docs).alias("_doc"), F.col("text"))
     found = secrets.find_secrets(inner, keep=("_doc",))
-    changed = F.size("spans") > 0
-    new = {"text": F.when(changed, F.col("redacted")).otherwise(F.col("_doc.text")), "n_chars": F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("_doc.n_chars"))}
-    return found.select(*[new[c].alias(c) if c in new else F.col(f"_doc.{c}").alias(c) for c in columns])
+    changed, doc = F.size("spans") > 0, F.col("_doc")
+    new = {"text": F.when(changed, F.col("redacted")).otherwise(doc["text"]), "n_chars": F.when(changed, F.length("redacted").cast("long")).otherwise(doc["n_chars"])}
+    return found.select(*[new[c].alias(c) if c in new else doc[c].alias(c) for c in columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

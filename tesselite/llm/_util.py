@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one Arrow batch that carries whole texts.
 TEXT_BATCH_ROWS = 1000
@@ -34,11 +36,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def kept_and(rows: DataFrame, keep: tuple[str, ...], more: str) -> T.StructType:
+    """The types of ``rows``' kept columns, whatever their names, and further ones."""
+    return T.StructType([rows.schema[c] for c in keep] + T.StructType.fromDDL(more).fields)
+
+
+def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` with batches small enough that very long texts stay within an executor's memory."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row in one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

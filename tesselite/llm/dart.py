@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselite.llm._util import map_texts, materialise
+from tesselite.llm._util import map_texts, materialise, whole_row
 from tesselite.llm.components import components
 
 SHINGLE = 5
@@ -330,7 +330,7 @@ def near_copies(documents: DataFrame, *, similarity: float = SIMILARITY, weighti
 def keep_one(documents: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, with the documents' own columns: that of the class's id."""
     named = materialise(classes(documents, similarity=similarity), "classes")
-    own = documents.select(F.struct(*documents.columns).alias("_doc"), F.col("doc_id").alias("_id"), _node(F.col("text")).alias("node"))
+    own = documents.select(whole_row(documents).alias("_doc"), F.col("doc_id").alias("_id"), _node(F.col("text")).alias("node"))
     chosen = own.join(named, "node").filter(F.col("_id").eqNullSafe(F.col("class_id")))
     repeated = own.select("_id", "node").join(named, "node").filter(F.col("_id").eqNullSafe(F.col("class_id"))).groupBy("component").count().filter("count > 1")
     if repeated.isEmpty():

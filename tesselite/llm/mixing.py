@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselite.llm._util import whole_row
+
 MOST = 3
 TURNS = 3
 SEEDS = 16
@@ -86,7 +88,7 @@ def mix(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), seeds: int =
 
 def emit(documents: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """Each document as often as the mix takes it."""
-    sized = documents.select(F.struct(*documents.columns).alias("_doc"), F.col("source"), words(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("_row"))
+    sized = documents.select(whole_row(documents).alias("_doc"), F.col("source"), words(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("_row"))
     per, few = rates(sized.select("source", "size", "_row"), seeds)
     met = _meet(sized, per.select("source", "rate", "seed"), few)
     copies = (F.floor("rate") + F.when(_draw(F.col("_row"), F.col("seed")) < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesselite.llm._util import map_texts
+from tesselite.llm._util import kept_and, map_texts
 
 #: Order of kinds where spans start alike.
 KINDS = ("assign", "access", "hex", "pair", "flow")
@@ -200,7 +200,6 @@ SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 def find_secrets(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, base_spans and spans (kind, start, end) and redacted text of every document; no shuffle."""
     rows = documents.select(*keep, documents["text"].alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -212,7 +211,7 @@ def find_secrets(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> D
                 {k: b.column(k) for k in keep} | {"base_spans": pa.array(listed[0], span_type), "spans": pa.array(listed[1], span_type), "redacted": pa.array([redact(t) if f[1] else t for t, f in zip(texts, found, strict=True)], pa.string())}
             )
 
-    return map_texts(rows, run, f"{schema}, base_spans {SPAN}, spans {SPAN}, redacted string")
+    return map_texts(rows, run, kept_and(rows, keep, f"base_spans {SPAN}, spans {SPAN}, redacted string"))
 
 
 def digest(spans: list[dict]) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselite.llm._util import map_texts
+from tesselite.llm._util import kept_and, map_texts
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -180,5 +180,4 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
 
     # the text is carried twice only if it is kept as well
     rows = documents.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
-    return map_texts(rows, run, f"{schema}, score double")
+    return map_texts(rows, run, kept_and(rows, keep, "score double"))

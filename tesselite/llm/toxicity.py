@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselite.llm._util import map_texts
+from tesselite.llm._util import kept_and, map_texts
 from tesselite.llm.subword import training_sample
 from tesselite.llm.tokens import Generations
 
@@ -321,7 +321,6 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
     """``keep`` columns, score and hits (start, end, term, edits, weight) of every document; no shuffle."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
     hit = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("term", pa.string()), ("edits", pa.int32()), ("weight", pa.float64())])
 
     def run(batches):
@@ -333,4 +332,4 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
             yield pa.RecordBatch.from_pydict({k: b.column(k) for k in keep} | cols)
 
     model_bias, model_slope = model.bias, model.slope
-    return map_texts(rows, run, f"{schema}, score double, hits array<struct<start:bigint,end:bigint,term:string,edits:int,weight:double>>")
+    return map_texts(rows, run, kept_and(rows, keep, "score double, hits array<struct<start:bigint,end:bigint,term:string,edits:int,weight:double>>"))

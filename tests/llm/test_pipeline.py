@@ -43,3 +43,12 @@ def test_empty_documents(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_columns_with_any_names_come_through(spark):
+    docs = table(spark, SF, "documents").limit(40).withColumnsRenamed({"lang": "score"}).selectExpr("*", "doc_id * 2 AS `odd name; ``x``.y`", "'s' AS spans", "1 AS rate", "2 AS size", "3 AS node", "4 AS component", "5 AS seed")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert out.count() >= 0
+    assert p.STAGES[-1][1](spark, docs, SF).count() > 0
