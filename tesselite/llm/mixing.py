@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselite.llm._util import whole_row
+from tesselite.llm._util import materialise, whole_row
 
 MOST = 3
 TURNS = 3
@@ -78,8 +78,8 @@ def rates(sized: DataFrame, seeds: int = SEEDS) -> tuple[DataFrame, bool]:
 def mix(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), seeds: int = SEEDS) -> DataFrame:
     """``keep`` columns, size, source_size, target, copies and taken of every document."""
     own = [F.col(c).alias(f"_k_{c}") for c in keep]
-    # one number stands for the row, so that equal rows share their fate
-    sized = documents.select(*own, F.col("source"), words(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("_row"))
+    # one number stands for the row, so that equal rows share their fate; the texts are read once
+    sized = materialise(documents.select(*own, F.col("source"), words(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("_row")), "sizes")
     per, few = rates(sized.select("source", "size", "_row"), seeds)
     met = _meet(sized, per, few)
     copies = F.floor("rate") + F.when(_draw(F.col("_row"), F.col("seed")) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
@@ -89,7 +89,7 @@ def mix(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), seeds: int =
 def emit(documents: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """Each document as often as the mix takes it."""
     sized = documents.select(whole_row(documents).alias("_doc"), F.col("source"), words(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("_row"))
-    per, few = rates(sized.select("source", "size", "_row"), seeds)
-    met = _meet(sized, per.select("source", "rate", "seed"), few)
+    per, few = rates(materialise(sized.select("source", "size", "_row"), "sizes"), seeds)
+    met = _meet(sized.drop("size"), per.select("source", "rate", "seed"), few)
     copies = (F.floor("rate") + F.when(_draw(F.col("_row"), F.col("seed")) < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     return met.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select("_doc.*")
