@@ -5,8 +5,10 @@ different words share, which stand in toxic documents and hardly in others.
 Its trie is intersected with the automata of all its terms at once: a state is a
 set of (trie node, edits so far), and states are made deterministic as texts
 reach them.  A word costs a look-up for each of its characters until no term is in
-reach.  Short terms must be met exactly, longer ones with one or two edits, from
-their first letter on; words that clean documents hold are no misspellings.
+reach.  Short terms must be met exactly, longer ones with one or two edits, at any
+of their letters; words that clean documents hold are no misspellings.  A stem
+is met exactly, as the beginning of any word; the words learned under it are terms
+themselves and so have their edits.
 
 Every hit is weighed by its context window: within quotation marks or beside words
 that report speech it counts less, beside words that address somebody it counts
@@ -54,7 +56,8 @@ FOLD = str.maketrans("013457@$", "oieastas")
 #: Words that report speech, and words that address somebody (fixed values).
 REPORTS = {"said", "says", "wrote", "writes", "quote", "quoted", "quotes", "called", "word", "term", "cited", "dit", "écrit", "mot", "cité", "sagte", "schrieb", "zitat", "zitiert", "wort", "dijo", "escribió", "cita", "palabra"}
 ADDRESS = {"you", "your", "you're", "ur", "u", "du", "dich", "dein", "ihr", "tu", "te", "toi", "vous", "eres", "tú", "usted"}
-_WORD = re.compile(r"[^\W_](?:[^\W_]|[@$])*")
+_WORD = re.compile(r"[@$]{0,3}[^\W_](?:[^\W_]|[@$])*")
+_SUM = re.compile(r"[@$]*\d+")
 _OPENERS, _CLOSERS = "\"“„«‹", "\"”“»›"
 
 
@@ -66,9 +69,13 @@ def edits(length: int) -> int:
 class Automaton:
     """The product of a trie of terms and their Levenshtein automata, made deterministic as it is walked."""
 
+    #: States, and (node, edits) pairs of all of them, from which on the next word begins anew.
     MOST_STATES = 200_000
+    MOST_PAIRS = 1_000_000
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], first: bool = False):
+        """first: the first letter may be edited like any other."""
+        self.first = first
         self.weight = {**words, **stems}
         self.child: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
@@ -93,10 +100,11 @@ class Automaton:
         self.sets: list[frozenset] = [frozenset(), self._close({0: 0})]
         self.number = {s: k for k, s in enumerate(self.sets)}
         self.accepts: list[tuple[str, int] | None] = [None, None]
+        self.pairs = 0
 
     def _close(self, reached: dict[int, int]) -> frozenset:
-        """With the nodes that skipped letters of terms lead to; the first letter is never skipped."""
-        todo = [n for n in reached if n > 0]
+        """With the nodes that skipped letters of terms lead to; the first letter is skipped only if it may be edited."""
+        todo = [n for n in reached if n > 0 or n == 0 and self.first]
         while todo:
             n = todo.pop()
             for m in self.child[n].values():
@@ -120,16 +128,15 @@ class Automaton:
             for d, m in self.child[node].items():
                 if d == c:
                     put(m, e, 99 if self.stem[m] or e == 0 else self.most[m])
-                elif node:
+                elif node or self.first:
                     put(m, e + 1, self.most[m])
-            if node:
+            if node or self.first:
                 put(node, e + 1, self.most[node])
         for n in [n for n, e in reached.items() if n > 0 and e == 0 and self.stem[n]]:
             reached[-n] = 0
         found = self._close(reached)
         if found not in self.number:
-            if len(self.sets) >= self.MOST_STATES:
-                raise OverflowError
+            self.pairs += len(found)
             self.number[found] = len(self.sets)
             self.sets.append(found)
             self.steps.append({})
@@ -147,19 +154,24 @@ class Automaton:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term and its edits."""
-        state = 1
-        try:
-            for c in word:
-                nxt = self.steps[state].get(c)
-                state = self._step(state, c) if nxt is None else nxt
-                if not state:
-                    return None
-        except OverflowError:
+        if len(self.sets) >= self.MOST_STATES or self.pairs >= self.MOST_PAIRS:
             self._reset()
-            return self.match(word)
+        state = 1
+        for c in word:
+            nxt = self.steps[state].get(c)
+            state = self._step(state, c) if nxt is None else nxt
+            if not state:
+                return None
         return self.accepts[state]
 
 
+def forms(word: str) -> list[str]:
+    """What a word is met as: itself, without marks that lead it, and with look-alikes as letters; a sum such as $100 is itself alone."""
+    if word.isalpha() or _SUM.fullmatch(word):
+        return [word.lstrip("@$")]
+    return list(dict.fromkeys((word, word.lstrip("@$"), word.translate(FOLD))))
+
+
 @dataclass
 class Model:
     words: dict[str, float] = field(default_factory=dict)
@@ -173,13 +185,18 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.automaton = Automaton(model.words, model.stems)
+        self.automaton = Automaton(model.words, model.stems, first=True)
         self.known = Generations(KNOWN)
 
     def match(self, word: str) -> tuple[str, int] | None:
-        if (found := self.automaton.match(word)) is None and (folded := word.translate(FOLD)) != word and not word.isdigit():
-            found = self.automaton.match(folded)
-        return None if found and word in self.model.clean else found
+        """The nearest term to any of the word's forms, and its edits."""
+        best = None
+        for form in forms(word):
+            if form in self.model.clean:
+                return None
+            if (found := self.automaton.match(form)) is not None and (best is None or found[1] < best[1]):
+                best = found
+        return best
 
     def _suspects(self, low: str) -> bool:
         """Whether any chunk between blanks holds a hit."""
@@ -194,7 +211,7 @@ class Scorer:
         return hit
 
     def hits(self, text: str | None) -> list[tuple[int, int, str, int, float]]:
-        """(start, end, term, edits, weight in context) over the lower-cased text."""
+        """(start, end, term, edits, weight in context) over the lower-cased text; signs that lead a word are part of it."""
         low = (text or "").lower()
         if not self._suspects(low):
             return []
@@ -220,7 +237,7 @@ def context(text: str, start: int, end: int) -> float:
     left, right = before.rpartition("\n")[2], after.partition("\n")[0]
     plain = left.count('"') % 2 == 1 and '"' in right
     shaped = any(left.rfind(a) > left.rfind(b) and b in right for a, b in zip(_OPENERS[1:], _CLOSERS[1:], strict=True))
-    near = set(_WORD.findall(left)[-6:] + _WORD.findall(right)[:6])
+    near = {w.lstrip("@$") for w in _WORD.findall(left)[-6:] + _WORD.findall(right)[:6]}
     factor = 1.0
     if plain or shaped:
         factor = 0.25 if near & REPORTS else 0.5
@@ -233,7 +250,7 @@ def context(text: str, start: int, end: int) -> float:
 
 def learn_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], int, int]:
     """Words and stems with weights, and how many documents, copies apart, of either class there were.  Counting is distributed; what
-    reaches the driver passed the bounds and is at most TERMS of each kind."""
+    reaches the driver passed the bounds, or stands under a stem that did, and is at most TERMS of each kind."""
     split = sample.select("y", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}]+").alias("w"))
     # copies of one document are likely to share the least hash of their word pairs, and count as one
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.xxhash64(F.try_element_at("w", i), F.try_element_at("w", i + 1)))
@@ -264,7 +281,13 @@ def learn_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float],
     for term in sorted(known, key=lambda t: (-known[t]["g"], -len(t), t)):
         if not any(term.startswith(k) or k.startswith(term) for k in kept):
             kept[term] = weigh(known[term])
-    words = {r["term"]: weigh(r) for r in passed(by_word).collect() if not any(r["term"][:n] in kept for n in range(1, len(r["term"]) + 1))}
+    words = {r["term"]: weigh(r) for r in passed(by_word).collect()}
+    if kept:
+        # the words under a stem that toxic documents hold more often than clean ones, with the stem's weight
+        begin = F.broadcast(sample.sparkSession.createDataFrame([(k,) for k in kept], "stem string"))
+        under = by_word.filter(longer & (F.col("t") * n0 > F.col("c") * n1)).select("term", "t", F.explode(prefixes).alias("stem")).join(begin, "stem")
+        for r in under.orderBy(F.desc("t"), "term").limit(TERMS).collect():
+            words.setdefault(r["term"], kept[r["stem"]])
     return words, kept, int(n1), int(n0)
 
 

@@ -113,3 +113,33 @@ def test_odd_rows_are_scored(spark):
     model = subword.train(["good text", "bad text"] * 5, [1, 0] * 5)
     assert subword.score(df, model).count() == 5 and all(0 <= r.score <= 1 for r in subword.score(df, model).collect())
     assert all(0 <= r.score <= 1 for r in toxicity.score(df, toxicity.Model()).collect())
+
+
+def test_first_letters_and_words_under_stems_may_be_misspelled(spark):
+    s = toxicity.Scorer(toxicity.Model({"stupid": 1.0, "worthless": 1.0, "scum": 1.0}, {}, frozenset({"cupid"})))
+    for word, edits in (("ztupid", 1), ("tupid", 1), ("astupid", 1), ("$tupid", 0), ("$tup1d", 0), ("xxorthless", 2), ("@scum", 0), ("@$tupid", 1)):
+        assert s.match(word)[1] == edits, word
+    assert s.match("cupid") is None and s.match("zcum") is None and s.match("$100") is None and s.mass("@cupid") == 0
+    rnd = random.Random(5)
+    terms = {w: 1.0 for w in ("idiot", "moron", "scum", "worthless", "disgusting")}
+    auto = toxicity.Automaton(terms, {}, first=True)
+    for _ in range(3000):
+        w = list(rnd.choice(list(terms)))
+        for _ in range(rnd.randrange(4)):
+            k = rnd.randrange(len(w) + 1)
+            w[k : k + rnd.randrange(2)] = rnd.choice(["", "a", "o", "i", "s"])
+        w = "".join(w)
+        want = min((d for t in terms if (d := levenshtein(w, t)) <= toxicity.edits(len(t))), default=None)
+        assert (auto.match(w) or (None, None))[1] == want, w
+    words = [f"{a}{b}" for a in ("al", "be", "ga", "de", "om", "ri", "st", "to") for b in ("pha", "ta", "mma", "lta", "ega", "ver", "one", "ck", "ne", "rn")]
+    rows = []
+    for i in range(400):
+        w = [rnd.choice(words) for _ in range(40)]
+        if i % 2:
+            w[9] = "zwick" + rnd.choice(["a", "elung", "ort", "isch", "em"])
+        rows.append((i, " ".join(w), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert set(model.stems) == {"zwick"} and {"zwickelung", "zwickort"} <= set(model.words)
+    s = toxicity.Scorer(model)
+    assert s.match("zwcikelung") == ("zwickelung", 2) and s.match("zwikort") == ("zwickort", 1) and s.match("zwickort")[1] == 0 and s.match("tone") is None
