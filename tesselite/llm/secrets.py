@@ -2,7 +2,7 @@
 
 Three plain patterns give the base spans.  Beside them a lexer reads source and
 configuration syntax into name-literal pairs (``name = "x"``, ``name: x``,
-``"name": "x"``, ``name := x``, ``name => x``, sums of strings and names), keeps the
+``"name": "x"``, ``name: type = x``, ``name := x``, ``name => x``, sums of strings and names), keeps the
 constants it has seen, and scores every literal by the name it is given to.
 A literal that reaches a sensitive name through other names is reported where it
 is written.  Added spans have kind ``pair`` (assigned to a sensitive name) or
@@ -52,10 +52,16 @@ _OPERATOR = re.compile(r":=|=>|(?<![=!<>:+\-*/|&^%~])=(?![=>~])|(?<![:A-Za-z]{2}
 _QUOTED = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`""")
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]#<>|]+""")
 _IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
+# a type between colon and sign of equality, as in Python, TypeScript, Kotlin, Rust and Swift; then a string or a name, or anything after a blank
+_TYPE = r"""(?:[&*]+(?:'\w+[\x20\t]+)?)?(?:(?:mut|dyn|impl|const|readonly|any)[\x20\t]+)?(?:[A-Za-z_][\w.]*(?:::[A-Za-z_]\w*)*(?:[\[<][^\n=;]{0,120}[\]>])?+|\[[^\n=]{0,120}\]|"[A-Za-z_][\w.\[\], |]{0,120}")[?!]?(?:\[\])*"""
+_TYPED = re.compile(rf"""[\x20\t]*{_TYPE}(?:[\x20\t]*[|&][\x20\t]*{_TYPE}){{0,8}}+(?:[\x20\t]*=(?=[\x20\t]*["'`])|[\x20\t]+=(?=[\x20\t]))""")
 _GAP = re.compile(r"[\x20\t]*")
 _PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
+#: Names of pass phrases, and of what is only said about them.
+_PHRASE = ("password", "passwd", "passphrase", "pwd")
+_ABOUT = {"label", "hint", "prompt", "message", "msg", "error", "text", "placeholder", "help", "title", "description", "policy", "rule", "rules"}
 #: Names longer than this, with what stands between a name and its operator, aren't names.
 NAME_REACH = 160
 PAIR_SCORE = 0.5
@@ -85,14 +91,22 @@ def sensitivity(name: str) -> float:
     return best
 
 
-def strength(value: str, quoted: bool) -> float:
-    """How much a literal looks like a secret, from 0 to 1."""
+def names_phrase(name: str) -> bool:
+    """Whether a name is that of a password or pass phrase, so that its value may be several words."""
+    parts = [p.lower() for p in _PARTS.findall(name.rpartition(".")[2] or name)]
+    return any(w in "".join(parts) for w in _PHRASE) and not _ABOUT.intersection(parts)
+
+
+def strength(value: str, quoted: bool, phrase: bool = False) -> float:
+    """How much a literal looks like a secret, from 0 to 1; phrase: it may be several words."""
     if len(value) < 6 or _PLACEHOLDER.match(value):
         return 0.0
     n = len(value)
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
     kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
     if any(c.isspace() for c in value):
+        if quoted and phrase and n >= 8 and entropy >= 2.5:
+            return 0.75
         return 0.0 if not quoted or kinds < 3 else 0.4
     if kinds == 1 and not value.isdigit():
         return 0.75 if quoted and n >= 8 and entropy >= 2.5 else 0.3
@@ -112,7 +126,14 @@ def pairs(text: str) -> list[Pair]:
         m = _NAME_BEFORE.search(text, max(done, op.start() - NAME_REACH), op.start())
         if not m:
             continue
-        at, value, spans, quoted, through, first = _GAP.match(text, op.end()).end(), [], [], False, False, True
+        start = op.end()
+        if op[0] == ":" and (typed := _TYPED.match(text, start)):
+            # the name is given to what stands after the type; the type itself is read as a bare word as well
+            if b := _BARE.match(text, _GAP.match(text, start).end()):
+                kind = b[0].rstrip(".:!?*&%$")
+                found.append(Pair(m[1], kind, ((b.start(), b.start() + len(kind)),), False, False))
+            start = done = typed.end()
+        at, value, spans, quoted, through, first = _GAP.match(text, start).end(), [], [], False, False, True
         while True:
             if q := _QUOTED.match(text, at):
                 k = q.lastindex or 1
@@ -164,7 +185,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     if ("=" in text or ":" in text) and any(s in low for s in _STEMS):
         for p in pairs(text):
             s = sensitivity(p.name)
-            if s >= PAIR_SCORE and s * strength(p.value, p.quoted) >= PAIR_SCORE:
+            if s >= PAIR_SCORE and s * strength(p.value, p.quoted, names_phrase(p.name)) >= PAIR_SCORE:
                 more.update((a, 4 if p.through else 3, b) for a, b in p.spans)
     if not more:
         return base, base

@@ -74,3 +74,20 @@ def test_query(spark):
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in want) for n in range(3))
         assert set(filter(None, listed.split(","))) <= set(r.spans.split(","))
+
+
+def test_typed_assignments_and_phrases():
+    secret = "Zx81kqPLm3v9"
+    for line in ('api_key: str = "%s"', "const password: string = '%s';", 'val dbPassword: String? = "%s"', 'let auth_token: &\'static str = "%s";', 'var secret: Optional<String>="%s"', 'token: str | None = "%s"', 'pwd: Dict[str, List[str]] = "%s"', 'let creds: [String] = "%s"', 'token: "Optional[str]" = "%s"', 'private_key: std::string::String = "%s"', "password: SecretType = %s"):
+        text = f"x = 1\n{line % secret}\ny = 2\n"
+        at = text.index(secret)
+        assert any(a <= at and at + len(secret) <= b and k in (0, 3) for a, k, b in secrets.scan(text)[1]), line
+        assert secret not in secrets.redact(text), line
+    # the type is no constant, constants keep their types' names apart, and encoded values are read as before
+    text = 'greeting: str = "abcDEF123456zz"\npassword: str\nBASE: str = "qwertY123456"\npassword = BASE\n'
+    assert {(secrets.KINDS[k], text[a:b]) for a, k, b in secrets.scan(text)[1] if k > 2} == {("flow", "qwertY123456")}
+    assert secrets.redact("pwd: aGVsbG8xMjM9PQ==") == "pwd: [SECRET]" and secrets.redact("pwd: ab12cd34ef=\n") == "pwd: [SECRET]\n"
+    assert secrets.redact('passphrase = "four plain words here"') == 'passphrase = "[SECRET]"' and secrets.redact('db_password: str = "correct horse battery"') == 'db_password: str = "[SECRET]"'
+    for text in ('greeting = "four plain words here"', 'password_hint = "four plain words here"', "passphrase = four plain words", 'token = "four plain words here"'):
+        assert secrets.redact(text) == text
+    secrets.scan("password:" + "<>" * 5000 + "|a[" * 5000)
