@@ -6,7 +6,8 @@ the last id of a word is always one that ends words.  Chunks are therefore looke
 up in a cache of bounded size, and only new ones go to the tokenizer, many
 at once.  Texts with characters for which this
 isn't plainly so (anything but printable Latin, tab, line feed and carriage
-return, or the start of a special token) go to the tokenizer whole.
+return, a capital I with a dot, which lower-cases to a letter and a sign, or the
+start of a special token) go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ _CLASS = bytes(
 )
 # a comma or full stop after one of these belongs to a longer run; else it can be a chunk of its own
 _RUN = re.compile(r"[^\sa-z0-9ªµºß-öø-ſ²³¹¼½¾][.,]|[.,][^\sa-z0-9ªµºß-öø-ſ²³¹¼½¾]")
-_UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ſ]|<\|")
+_UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-įı-ſ]|<\|")
 # the tokenizer's own split, for lower-cased characters that are not unusual
 _WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ſ]+|[0-9²³¹¼½¾]|[^\sa-z0-9ªµºß-öø-ſ²³¹¼½¾]+")
 
@@ -125,7 +126,7 @@ class Encoder:
         """Chunks of the text; None if it must go to the tokenizer whole."""
         raw = text.encode("utf-8", "surrogatepass")
         kinds = raw.translate(_CLASS)
-        if b"\0" in kinds or b"<|" in raw or b"\xc3\x97" in raw or b"\xc3\xb7" in raw:
+        if b"\0" in kinds or b"<|" in raw or b"\xc4\xb0" in raw or b"\xc3\x97" in raw or b"\xc3\xb7" in raw:
             if _UNUSUAL.search(text):
                 return None
             text = text.lower()

@@ -126,3 +126,8 @@ def test_count_query(spark, own):
     sf = "/root/testdata/sf0.001"
     want = {r.doc_id: len(own.encode(r.text or "", add_special_tokens=False).ids) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert {r.doc_id: r.tokens for r in queries.op6_separator_scan(spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("text", ["DEMİ. yeni", "DEMİ, yeni", "İ.İ,İ .a", "plain DİZİ, 5.5 x"])
+def test_dotted_capital_before_punctuation(own, text):
+    assert np.frombuffer(tokens.encoder(tokens.vocabulary_path()).encode([text])[0], "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
