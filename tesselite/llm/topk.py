@@ -15,7 +15,9 @@ Each task keeps k rows for each query.
 Vectors that are null or hold null or non-finite components take no part, nor
 do rows without an id.  Vectors of unlike lengths aren't compared.  Rows that
 carry the query's id are the query's own.  Ties go to the smaller id.  Repeated
-rows of a candidate are candidates each.  An empty table has no rows.  Extra
+rows of a candidate are candidates each.  Rows that repeat a query's id are asked
+each, and the id's answer is the k best of all their pairs, so that a candidate may
+stand in it once for each of them.  An empty table has no rows.  Extra
 columns are ignored.
 """
 
@@ -184,7 +186,7 @@ def search(vectors: DataFrame, is_query, *, key: str = "vec_id", column: str = "
     out = None
     for n in range(blocks):
         # one block of queries, about query_bytes
-        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).dropDuplicates(["id"]).orderBy("id").toArrow().combine_chunks()
+        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).orderBy("id").toArrow().combine_chunks()
         ids, x = part.column("id").to_numpy(), part.column("x").combine_chunks()
         sent = spark.sparkContext.broadcast([(ids[rows], v) for rows, v in (_quantised(x) if len(ids) else [])])
 

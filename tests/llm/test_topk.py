@@ -41,3 +41,16 @@ def test_query_equals_sql(spark):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     want = con.sql(f"SELECT query_id, rank, vec_id, score FROM ({queries.OP5_SQL})").fetchall()
     assert sorted(tuple(r) for r in queries.op5_segment_topk(spark, sf).select("query_id", "rank", "vec_id", "score").collect()) == sorted(want)
+
+
+def test_repeated_query_rows_equal_sql(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).round(2).tolist()) for i in range(200)]
+    rows += [(50, rng.normal(size=8).round(2).tolist()), (100, rows[100][1]), (150, (-np.array(rows[150][1])).tolist()), (7, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings/*.parquet'")
+    want = sorted(con.sql(f"SELECT query_id, rank, vec_id, score FROM ({queries.OP5_SQL})").fetchall())
+    for size in (topk.QUERY_BYTES, 200):
+        assert sorted(tuple(r) for r in topk.search(df, F.col("id") % 50 == 0, query_bytes=size).select("query_id", "rank", "vec_id", "score").collect()) == want
