@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselite.llm._util import kept_and, map_texts
@@ -32,7 +32,7 @@ EPOCHS = 4
 RATE = 0.5
 #: At most so many labelled documents are trained on, half of them of each class where there are enough.
 TRAIN_ROWS = 4000
-#: And at most so many characters of them, in the order of the sample; a document is used whole or not at all.
+#: And at most so many characters of them; a document is used whole or not at all, and one that doesn't fit is passed over.
 TRAIN_CHARS = 40_000_000
 #: Zero rows in every document's mean.
 EMPTY = 60
@@ -135,34 +135,45 @@ def held_out(doc_id, mod: int, rest: int):
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, y): at most ``rows`` labelled documents that aren't held out, half of each class where there
-    are enough, chosen by a hash of the id.  The ids are picked from the label table before a text is read."""
+    """(doc_id, text, y, place): at most ``rows`` labelled documents that aren't held out, half of each class where there
+    are enough, chosen by a hash of the id, whose order within the class is ``place``.  The ids are picked from the label table before a text is read."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).filter(F.col("_id").isNotNull() & F.col("y").isin(0, 1))
     known = known.filter(~held_out(F.col("_id"), mod, rest)).dropDuplicates(["_id"])
     order = F.xxhash64(F.lit(SEED), "_id")
-    picked = known.filter("y = 0").orderBy(order, "_id").limit(rows // 2).unionByName(known.filter("y = 1").orderBy(order, "_id").limit(rows // 2))
-    # at most ``rows`` ids of 12 bytes; of rows that repeat an id one text counts
+    # the rows of a limit are in one partition already, so that their numbers need no shuffle
+    place = F.row_number().over(Window.partitionBy("y").orderBy(order, "_id")).alias("place")
+    zeros, ones = (known.filter(F.col("y") == y).orderBy(order, "_id").limit(rows // 2).select("_id", "y", place) for y in (0, 1))
+    picked = zeros.unionByName(ones)
+    # at most ``rows`` ids of 16 bytes; of rows that repeat an id one text counts
     met = documents.select("doc_id", F.col("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    return met.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
+    return met.groupBy("doc_id", "y", "place").agg(F.min("text").alias("text")).select("doc_id", "text", "y", "place")
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", mod: int = 3, rest: int = 1, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """A model trained on the bounded sample, by one task on an executor; the driver gets the buckets' margins alone.
-    The sample is in the order of its ids, and of its texts as many are used as fit in ``chars``."""
+    The classes take turns, each in the order of its hashes, and a text is used if it fits in what is left of ``chars``; of a
+    class of which none fits the shortest text is used all the same."""
     sample = training_sample(documents, labels, label, mod, rest, rows)
 
     def run(batches):
-        texts, ys, left = [], [], chars
+        texts, ys, left, shortest = [], [], chars, {}
         for b in batches:
             for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                if (left := left - len(t or "")) >= 0:
-                    texts.append(t or "")
+                t = t or ""
+                if len(t) <= left:
+                    left -= len(t)
+                    texts.append(t)
                     ys.append(y)
+                elif y not in shortest or len(t) < len(shortest[y]):
+                    shortest[y] = t
+        for y in sorted(set(shortest) - set(ys)):
+            texts.append(shortest[y])
+            ys.append(y)
         model = train(texts, ys)
         yield pa.RecordBatch.from_pydict({"margin": pa.array([model.margin.tobytes()], pa.binary()), "bias": pa.array([model.bias], pa.float64())})
 
     # at most ``rows`` rows meet in the one task
-    row = map_texts(sample.select("doc_id", "text", "y").repartition(1).sortWithinPartitions("doc_id", "text"), run, "margin binary, bias double").first()
+    row = map_texts(sample.repartition(1).sortWithinPartitions("place", "y", "doc_id"), run, "margin binary, bias double").first()
     if row is None:
         return train([], [])
     return Model(np.frombuffer(bytes(row["margin"]), np.float32), row["bias"])

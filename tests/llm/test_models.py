@@ -143,3 +143,20 @@ def test_first_letters_and_words_under_stems_may_be_misspelled(spark):
     assert set(model.stems) == {"zwick"} and {"zwickelung", "zwickort"} <= set(model.words)
     s = toxicity.Scorer(model)
     assert s.match("zwcikelung") == ("zwickelung", 2) and s.match("zwikort") == ("zwickort", 1) and s.match("zwickort")[1] == 0 and s.match("tone") is None
+
+
+def test_training_budget_recovers_after_a_long_text(spark):
+    rnd = random.Random(6)
+    make = lambda words: " ".join(rnd.choice(words) for _ in range(20))
+    kinds = (["click", "here", "win", "$$$"], ["river", "stone", "winter", "garden"])
+    texts = [make(kinds[i % 2]) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+
+    def fitted(own, chars):
+        return subword.fit(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), labels, mod=1000, rest=999, chars=chars)
+
+    # one text above the whole budget, at the lowest id; a budget for a part of the texts; no text of one class fits
+    long = ["river " * 20_000, *texts[1:]]
+    for own, chars in ((long, 100_000), (texts, 4000), ([t * 30 if i % 2 else t for i, t in enumerate(texts)], 1000)):
+        model = fitted(own, chars)
+        assert all(model.score(make(kinds[1])) > 0.5 > model.score(make(kinds[0])) for _ in range(10)), chars
