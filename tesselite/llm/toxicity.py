@@ -16,7 +16,9 @@ more.  A logistic model of the weighed hits gives the score.
 
 Inputs of a score: the text alone.  Null and empty texts have no hits and
 score by the bias.  Whole texts of any length are read; repeated rows score alike;
-extra columns are ignored.  Without labelled rows of both classes the lexicon is
+extra columns are ignored.  Learning and scoring take the same words (``words``,
+``forms``): letters, digits and signs with the marks that follow them, composed (NFC).
+Without labelled rows of both classes the lexicon is
 empty and every score is below one half, unless all labels are 1.
 """
 
@@ -24,6 +26,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselite.llm._util import kept_and, map_texts
+from tesselite.llm._util import kept_and, map_texts, materialise
 from tesselite.llm.subword import training_sample
 from tesselite.llm.tokens import Generations
 
@@ -56,7 +60,12 @@ FOLD = str.maketrans("013457@$", "oieastas")
 #: Words that report speech, and words that address somebody (fixed values).
 REPORTS = {"said", "says", "wrote", "writes", "quote", "quoted", "quotes", "called", "word", "term", "cited", "dit", "écrit", "mot", "cité", "sagte", "schrieb", "zitat", "zitiert", "wort", "dijo", "escribió", "cita", "palabra"}
 ADDRESS = {"you", "your", "you're", "ur", "u", "du", "dich", "dein", "ihr", "tu", "te", "toi", "vous", "eres", "tú", "usted"}
+# combining marks (vowel signs, accents on their own), which Python's \w leaves out; all of them stand above U+02FF, so
+# that other texts are spared the larger pattern, and those beyond U+FFFF are looked for only among their like
+_MARKS = [c for c in map(chr, range(0x300, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M"]
 _WORD = re.compile(r"[@$]{0,3}[^\W_](?:[^\W_]|[@$])*")
+_MARKED = re.compile("[@$]{0,3}[^\\W_](?:[^\\W_]|[@$%s]|[\U00010000-\U0010ffff](?<=[%s]))*" % ("".join(c for c in _MARKS if c < "\U00010000"), "".join(c for c in _MARKS if c > "\uffff")))
+_HIGH = re.compile("[\u0300-\U0010ffff]")
 _SUM = re.compile(r"[@$]*\d+")
 _OPENERS, _CLOSERS = "\"“„«‹", "\"”“»›"
 
@@ -165,6 +174,13 @@ class Automaton:
         return self.accepts[state]
 
 
+def words(low: str) -> list[str]:
+    """The words of a lower-cased text in order, composed, for learning and scoring alike."""
+    if low.isascii() or not _HIGH.search(low):
+        return _WORD.findall(low)
+    return [unicodedata.normalize("NFC", w) for w in _MARKED.findall(low)]
+
+
 def forms(word: str) -> list[str]:
     """What a word is met as: itself, without marks that lead it, and with look-alikes as letters; a sum such as $100 is itself alone."""
     if word.isalpha() or _SUM.fullmatch(word):
@@ -204,7 +220,7 @@ class Scorer:
         new = self.known.missing(chunks)
         hit = False
         for c in new:
-            if any(map(self.match, _WORD.findall(c))):
+            if any(map(self.match, words(c))):
                 hit = True
             else:
                 self.known.young[c] = True
@@ -216,8 +232,8 @@ class Scorer:
         if not self._suspects(low):
             return []
         out = []
-        for m in _WORD.finditer(low):
-            if (found := self.match(m[0])) is not None:
+        for m in (_MARKED if _HIGH.search(low) else _WORD).finditer(low):
+            if (found := self.match(unicodedata.normalize("NFC", m[0]))) is not None:
                 term, e = found
                 out.append((m.start(), m.end(), term, e, self.automaton.weight[term] * (1 - 0.25 * e) * context(low, m.start(), m.end())))
         return out
@@ -237,7 +253,7 @@ def context(text: str, start: int, end: int) -> float:
     left, right = before.rpartition("\n")[2], after.partition("\n")[0]
     plain = left.count('"') % 2 == 1 and '"' in right
     shaped = any(left.rfind(a) > left.rfind(b) and b in right for a, b in zip(_OPENERS[1:], _CLOSERS[1:], strict=True))
-    near = {w.lstrip("@$") for w in _WORD.findall(left)[-6:] + _WORD.findall(right)[:6]}
+    near = {w.lstrip("@$") for w in words(left)[-6:] + words(right)[:6]}
     factor = 1.0
     if plain or shaped:
         factor = 0.25 if near & REPORTS else 0.5
@@ -248,13 +264,22 @@ def context(text: str, start: int, end: int) -> float:
     return factor
 
 
+def _split(batches):
+    """Words of every text in order, and the distinct forms of those that hold a letter."""
+    for b in batches:
+        found = [words((t or "").lower()) for t in b.column("text").to_pylist()]
+        terms = [list({f for w in set(own) for f in forms(w) if any(map(str.isalpha, f))}) for own in found]
+        yield pa.RecordBatch.from_pydict({"y": b.column("y"), "w": pa.array(found, pa.list_(pa.string())), "terms": pa.array(terms, pa.list_(pa.string()))})
+
+
 def learn_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], int, int]:
     """Words and stems with weights, and how many documents, copies apart, of either class there were.  Counting is distributed; what
     reaches the driver passed the bounds, or stands under a stem that did, and is at most TERMS of each kind."""
-    split = sample.select("y", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}]+").alias("w"))
+    split = map_texts(sample.select("y", "text"), _split, "y int, w array<string>, terms array<string>")
     # copies of one document are likely to share the least hash of their word pairs, and count as one
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.xxhash64(F.try_element_at("w", i), F.try_element_at("w", i + 1)))
-    docs = split.select("y", F.array_distinct("w").alias("terms"), F.array_min(pairs).alias("kin"))
+    # split once; what is written follows the sample's bound
+    docs = materialise(split.select("y", "terms", F.array_min(pairs).alias("kin")), "terms")
     tokens = docs.select("kin", "y", F.explode("terms").alias("term")).filter(F.length("term").between(3, 40))
     n1, n0 = docs.agg(F.count_distinct(F.when(F.col("y") == 1, F.col("kin"))), F.count_distinct(F.when(F.col("y") == 0, F.col("kin")))).first()
     if not n1 or not n0:
@@ -281,23 +306,23 @@ def learn_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float],
     for term in sorted(known, key=lambda t: (-known[t]["g"], -len(t), t)):
         if not any(term.startswith(k) or k.startswith(term) for k in kept):
             kept[term] = weigh(known[term])
-    words = {r["term"]: weigh(r) for r in passed(by_word).collect()}
+    whole = {r["term"]: weigh(r) for r in passed(by_word).collect()}
     if kept:
         # the words under a stem that toxic documents hold more often than clean ones, with the stem's weight
         begin = F.broadcast(sample.sparkSession.createDataFrame([(k,) for k in kept], "stem string"))
         under = by_word.filter(longer & (F.col("t") * n0 > F.col("c") * n1)).select("term", "t", F.explode(prefixes).alias("stem")).join(begin, "stem")
         for r in under.orderBy(F.desc("t"), "term").limit(TERMS).collect():
-            words.setdefault(r["term"], kept[r["stem"]])
-    return words, kept, int(n1), int(n0)
+            whole.setdefault(r["term"], kept[r["stem"]])
+    return whole, kept, int(n1), int(n0)
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", mod: int = 5, rest: int = 0, rows: int = TRAIN_ROWS) -> Model:
     """Lexicon, clean near-misses and logistic model from a bounded sample of labelled documents that aren't held out."""
     sample = training_sample(documents, labels, label, mod, rest, rows)
-    words, stems, n1, n0 = learn_terms(sample)
+    whole, stems, n1, n0 = learn_terms(sample)
     if not n1 or not n0:
         return Model(bias=3.0 if n1 else -3.0)
-    model = Model(words, stems)
+    model = Model(whole, stems)
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def near(batches):
@@ -306,12 +331,12 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", mod: i
             found: list[str] = []
             for y, t in zip(b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if not y:
-                    found += [w for w in set(_WORD.findall((t or "").lower())) if (m := scorer.match(w)) and m[1]]
+                    found += [w for w in set(words((t or "").lower())) if (m := scorer.match(w)) and m[1]]
             yield pa.RecordBatch.from_pydict({"w": pa.array(found, pa.string())})
 
     # words of clean documents within reach of a term; their number follows the sample's bound
     clean = frozenset(r["w"] for r in map_texts(sample.select("y", "text"), near, "w string").groupBy("w").count().filter("count > 1").select("w").collect())
-    model = Model(words, stems, clean)
+    model = Model(whole, stems, clean)
     sent2 = sample.sparkSession.sparkContext.broadcast(model)
 
     def masses(batches):

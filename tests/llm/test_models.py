@@ -160,3 +160,21 @@ def test_training_budget_recovers_after_a_long_text(spark):
     for own, chars in ((long, 100_000), (texts, 4000), ([t * 30 if i % 2 else t for i, t in enumerate(texts)], 1000)):
         model = fitted(own, chars)
         assert all(model.score(make(kinds[1])) > 0.5 > model.score(make(kinds[0])) for _ in range(10)), chars
+
+
+def test_marks_are_learned_and_met(spark):
+    assert toxicity.words("हिन्दी के शब्द") == ["हिन्दी", "के", "शब्द"] and toxicity.words("de\u0301bile") == ["débile"]
+    s = toxicity.Scorer(toxicity.Model({"débile": 1.0, "मूर्खता": 1.0}, {}))
+    assert [h[3] for h in s.hits("de\u0301bile débile मूर्खता।")] == [0, 0, 0] and [h[:2] for h in s.hits("x de\u0301bile")] == [(2, 9)]
+    rnd = random.Random(9)
+    clean = [a + b for a in ("नदी", "पत्थर", "सर्दी", "बगीचा", "किताब", "पानी", "मौसम") for b in ("का", "में", "से", "पर", "ने", "को", "तक", "की", "ही", "भी")]
+    rows = []
+    for i in range(400):
+        w = [rnd.choice(clean) for _ in range(30)]
+        if i % 2:
+            w[3] = ("मूर्खता", "de\u0301bile", "débile")[rnd.randrange(3)]
+        rows.append((i, " ".join(w), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert {"मूर्खता", "débile"} <= {*model.words, *model.stems}
+    assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in toxicity.score(df, model).collect())
