@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,29 +12,59 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch that carries whole texts.
+#: Rows with whole texts that a function gets at once; Spark itself bounds the bytes of what it sends.
 TEXT_BATCH_ROWS = 1000
+#: Partitions among which the rows of one hot key are dealt.
+SALTS = 64
 
 _own_dir: str | None = None
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.  Where that is unset a local master, whose tasks
+    run on the driver's machine, gets a temporary folder, and a cluster is refused."""
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tesselite-")
     return _own_dir
 
 
+def _on_path(spark: SparkSession, path: str) -> tuple:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the session's JVM ends, if not before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, jpath = _on_path(spark, path)
+    fs.deleteOnExit(jpath)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    _paths[kept] = path
+    return kept
+
+
+def discard(*kept: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote and nothing reads any more."""
+    for df in kept:
+        if path := _paths.pop(df, None):
+            fs, jpath = _on_path(df.sparkSession, path)
+            fs.delete(jpath, True)
 
 
 def kept_and(rows: DataFrame, keep: tuple[str, ...], more: str) -> T.StructType:
@@ -41,10 +72,22 @@ def kept_and(rows: DataFrame, keep: tuple[str, ...], more: str) -> T.StructType:
     return T.StructType([rows.schema[c] for c in keep] + T.StructType.fromDDL(more).fields)
 
 
-def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` with batches small enough that very long texts stay within an executor's memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, rows: int = TEXT_BATCH_ROWS) -> DataFrame:
+    """``mapInArrow`` whose function gets at most ``rows`` rows at once, so that what it makes of long texts stays small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.slice(a, rows) for b in batches for a in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(run, schema)
+
+
+def spread_join(rows: DataFrame, few: DataFrame, key: str, by: Column, salts: int = SALTS) -> DataFrame:
+    """``rows`` inner join ``few``, which holds each value of ``key`` once; of ``rows`` one value may hold any share.
+    Each value's row goes to as many salts as the value has among ``rows`` (at most ``salts``), counted where the
+    rows are, so that no task meets all rows of a hot value.  by: what deals a value's rows."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    met = salted.select(key, "_salt").distinct().join(few, key)
+    return salted.join(met, [key, "_salt"]).drop("_salt")
 
 
 def whole_row(df: DataFrame) -> Column:

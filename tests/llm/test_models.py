@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tesselite.llm import subword, toxicity
+from tesselite.llm import hashing, subword, toxicity
 
 
 def test_features_equal_one_by_one():
@@ -21,7 +21,7 @@ def test_features_equal_one_by_one():
         for w in words:
             h = 0
             for k, x in enumerate(w):
-                h = (h + (ord(x) + 1) * pow(subword._P, k, 1 << 64)) & mask
+                h = (h + (ord(x) + 1) * pow(hashing.BASE, k, 1 << 64)) & mask
             wh.append(h)
         out += [(h * m + 7 & mask) >> 46 for h in wh] + [((1 if a == b else a * 3 + b) * m + 11 & mask) >> 46 for a, b in zip(wh, wh[1:])]
         return sorted(out)
