@@ -1,7 +1,11 @@
 """Toxicity by a lexicon trie that Levenshtein automata walk.
 
-The lexicon is learned from labelled documents: words, and stems that many
-different words share, which stand in toxic documents and hardly in others.
+The lexicon is a short list of common insults (``INSULTS``) and what labelled
+documents teach: words, and stems that many different words share, which stand in
+toxic documents and hardly in others.  How sure a term must be follows the number of
+the sample's words, so that hardly one passes by chance.  Insults that the sample's clean
+documents hold as often as its toxic ones are left out, and those that the sample doesn't
+hold at all are met exactly, and so are terms whose misspellings stand in clean documents too.
 Its trie is intersected with the automata of all its terms at once: a state is a
 set of (trie node, edits so far), and states are made deterministic as texts
 reach them.  A word costs a look-up for each of its characters until no term is in
@@ -18,8 +22,12 @@ Inputs of a score: the text alone.  Null and empty texts have no hits and
 score by the bias.  Whole texts of any length are read; repeated rows score alike;
 extra columns are ignored.  Learning and scoring take the same words (``words``,
 ``forms``): letters, digits and signs with the marks that follow them, composed (NFC).
-Without labelled rows of both classes the lexicon is
-empty and every score is below one half, unless all labels are 1.
+Label rows that
+give one id different labels are left out.  Without labelled rows of both classes
+the insults alone count, by fixed numbers, and all scores are above one half where
+all labels are 1.  Where hits don't tell the sample's classes apart, every score is the share of
+label 1.  What is learned, collected and broadcast is bounded by the
+sample (``TRAIN_ROWS``, ``TRAIN_CHARS``): its words, whatever their lengths.
 """
 
 from __future__ import annotations
@@ -35,21 +43,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselite.llm._util import kept_and, map_texts, materialise
+from tesselite.llm._util import discard, kept_and, map_texts, materialise
 from tesselite.llm.subword import training_sample
 from tesselite.llm.tokens import Generations
 
-#: At most so many labelled documents are learned from, half of them of each class where there are enough.
+#: At most so many labelled documents are learned from, half of them of each class where there are enough, and so many
+#: of their characters.
 TRAIN_ROWS = 8000
-#: Least likelihood ratio (G squared) of a term, and least share of toxic documents among those that hold it, both
-#: classes counting alike.
-LEAST_G = 25.0
+TRAIN_CHARS = 40_000_000
+#: Least share of toxic documents among those that hold a term, both classes counting alike.
 LEAST_SHARE = 0.85
 #: A stem has so many characters, and so many words share it.
 STEM = (4, 8)
 STEM_WORDS = 4
-#: Terms kept at most, those with the highest ratio first.
-TERMS = 5000
 #: Chunks known to hold no hit, in one of a cache's two generations.
 KNOWN = 400_000
 #: Characters before and after a hit that make its context.
@@ -60,6 +66,14 @@ FOLD = str.maketrans("013457@$", "oieastas")
 #: Words that report speech, and words that address somebody (fixed values).
 REPORTS = {"said", "says", "wrote", "writes", "quote", "quoted", "quotes", "called", "word", "term", "cited", "dit", "écrit", "mot", "cité", "sagte", "schrieb", "zitat", "zitiert", "wort", "dijo", "escribió", "cita", "palabra"}
 ADDRESS = {"you", "your", "you're", "ur", "u", "du", "dich", "dein", "ihr", "tu", "te", "toi", "vous", "eres", "tú", "usted"}
+#: Insults in English, German, French and Spanish (fixed values), and their weight where nothing better was learned.
+INSULTS = (
+    "idiot", "idiots", "idiotic", "moron", "morons", "imbecile", "stupid", "dumbass", "asshole", "bastard", "bitch", "scum", "scumbag", "loser", "losers", "pathetic", "worthless", "disgusting", "trash", "clown", "cretin", "jerk", "retard", "douchebag", "shithead", "dickhead", "fuck", "fucking",
+    "dummkopf", "vollidiot", "trottel", "depp", "arschloch", "schwachkopf", "blödmann", "wichser", "hurensohn", "abschaum", "widerlich", "erbärmlich", "wertlos", "versager", "mistkerl", "drecksau",
+    "idiote", "imbécile", "crétin", "connard", "connasse", "salaud", "salope", "abruti", "débile", "minable", "ordure", "dégoûtant", "pathétique",
+    "idiota", "imbécil", "estúpido", "estúpida", "cabrón", "gilipollas", "pendejo", "escoria", "asqueroso", "patético", "inútil", "tarado", "mierda",
+)
+INSULT_WEIGHT = 0.8
 # combining marks (vowel signs, accents on their own), which Python's \w leaves out; all of them stand above U+02FF, so
 # that other texts are spared the larger pattern, and those beyond U+FFFF are looked for only among their like
 _MARKS = [c for c in map(chr, range(0x300, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M"]
@@ -82,9 +96,10 @@ class Automaton:
     MOST_STATES = 200_000
     MOST_PAIRS = 1_000_000
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], first: bool = False):
-        """first: the first letter may be edited like any other."""
+    def __init__(self, words: dict[str, float], stems: dict[str, float], first: bool = False, exact: frozenset[str] = frozenset()):
+        """first: the first letter may be edited like any other.  exact: words that allow no edits."""
         self.first = first
+        self.allowed = {t: 0 if t in exact else edits(len(t)) for t in words}
         self.weight = {**words, **stems}
         self.child: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
@@ -92,7 +107,7 @@ class Automaton:
         self.most: list[int] = [0]
         for kind, terms in ((self.term, words), (self.stem, stems)):
             for t in sorted(terms):
-                node, allowed = 0, edits(len(t)) if kind is self.term else 0
+                node, allowed = 0, self.allowed[t] if kind is self.term else 0
                 self.most[0] = max(self.most[0], allowed)
                 for c in t:
                     if c not in self.child[node]:
@@ -157,7 +172,7 @@ class Automaton:
         best = None
         for node, e in found:
             t = self.stem[-node] if node < 0 else self.term[node]
-            if t and (node < 0 or e <= edits(len(t))) and (best is None or (e, t) < (best[1], best[0])):
+            if t and (node < 0 or e <= self.allowed[t]) and (best is None or (e, t) < (best[1], best[0])):
                 best = (t, e)
         return best
 
@@ -194,6 +209,8 @@ class Model:
     stems: dict[str, float] = field(default_factory=dict)
     #: Words near to a term that clean documents hold.
     clean: frozenset[str] = frozenset()
+    #: Words that count only as they are written.
+    exact: frozenset[str] = frozenset()
     bias: float = -3.0
     slope: float = 4.0
 
@@ -201,7 +218,7 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.automaton = Automaton(model.words, model.stems, first=True)
+        self.automaton = Automaton(model.words, model.stems, first=True, exact=model.exact)
         self.known = Generations(KNOWN)
 
     def match(self, word: str) -> tuple[str, int] | None:
@@ -272,71 +289,105 @@ def _split(batches):
         yield pa.RecordBatch.from_pydict({"y": b.column("y"), "w": pa.array(found, pa.list_(pa.string())), "terms": pa.array(terms, pa.list_(pa.string()))})
 
 
-def learn_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], int, int]:
-    """Words and stems with weights, and how many documents, copies apart, of either class there were.  Counting is distributed; what
-    reaches the driver passed the bounds, or stands under a stem that did, and is at most TERMS of each kind."""
+def learn_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], frozenset[str], int, int]:
+    """Words and stems with weights, words without edits, and how many documents, copies apart, of either class there were.  Counting is
+    distributed; what reaches the driver passed the bounds, or stands under a stem that did, or is an insult."""
     split = map_texts(sample.select("y", "text"), _split, "y int, w array<string>, terms array<string>")
     # copies of one document are likely to share the least hash of their word pairs, and count as one
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.xxhash64(F.try_element_at("w", i), F.try_element_at("w", i + 1)))
-    # split once; what is written follows the sample's bound
+    # split once, counted once; what is written follows the sample's bound
     docs = materialise(split.select("y", "terms", F.array_min(pairs).alias("kin")), "terms")
-    tokens = docs.select("kin", "y", F.explode("terms").alias("term")).filter(F.length("term").between(3, 40))
     n1, n0 = docs.agg(F.count_distinct(F.when(F.col("y") == 1, F.col("kin"))), F.count_distinct(F.when(F.col("y") == 0, F.col("kin")))).first()
     if not n1 or not n0:
-        return {}, {}, n1, n0
+        discard(docs)
+        return {}, {}, frozenset(), n1, n0
+    tokens = docs.select("kin", "y", F.explode("terms").alias("term"))
     counts = [F.count_distinct(F.when(F.col("y") == 1, F.col("kin"))).alias("t"), F.count_distinct(F.when(F.col("y") == 0, F.col("kin"))).alias("c")]
+    by_word = materialise(tokens.groupBy("term").agg(*counts), "words")
 
     def passed(df: DataFrame) -> DataFrame:
+        # of as many terms without meaning about one in forty samples has one that passes this ratio
+        least = 2 * math.log(max(2, df.count())) + 4
         t, c = F.col("t").cast("double"), F.col("c").cast("double")
         part = lambda k, n: F.when(k > 0, k * F.log(k * (n1 + n0) / (n * (t + c)))).otherwise(0.0)
         share = ((t + 0.5) / (n1 + 1)) / ((t + 0.5) / (n1 + 1) + (c + 0.5) / (n0 + 1))
         g = 2 * (part(t, n1) + part(c, n0))
-        return df.withColumn("share", share).withColumn("g", g).filter((F.col("g") >= LEAST_G) & (F.col("share") >= LEAST_SHARE)).orderBy(F.desc("g"), "term").limit(TERMS)
+        return df.withColumn("share", share).withColumn("g", g).filter((F.col("g") >= least) & (F.col("share") >= LEAST_SHARE))
 
-    by_word = tokens.groupBy("term").agg(*counts)
     prefixes = F.transform(F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("term") - 1)), lambda n: F.substring("term", F.lit(1), n))
     longer = F.length("term") > STEM[0]
     by_stem = tokens.filter(longer).select("kin", "y", F.explode(prefixes).alias("term")).distinct().groupBy("term").agg(*counts)
     shared = by_word.filter(longer & (F.col("t") > 0)).select(F.explode(prefixes).alias("term"), "t").groupBy("term").agg(F.count("*").alias("kinds"), F.max("t").alias("top"), F.sum("t").alias("all"))
-    stems = passed(by_stem.join(shared.filter((F.col("kinds") >= STEM_WORDS) & (F.col("top") * 2 <= F.col("all"))), "term"))
+    shared = shared.filter((F.col("kinds") >= STEM_WORDS) & (F.col("top") * 2 <= F.col("all")))
+    counted = materialise(by_stem.join(shared, "term"), "stems")
+    stems = passed(counted)
     weigh = lambda r: min(1.0, math.log(r["share"] / (1 - r["share"])) / 6)
     known = {r["term"]: r for r in stems.collect()}
     kept: dict[str, float] = {}
     # of stems that begin alike the one with the highest ratio stays, and of equals the longest
     for term in sorted(known, key=lambda t: (-known[t]["g"], -len(t), t)):
-        if not any(term.startswith(k) or k.startswith(term) for k in kept):
+        if not any(term[:n] in kept for n in range(STEM[0], len(term) + 1)) and not any(k.startswith(term) for k in kept):
             kept[term] = weigh(known[term])
     whole = {r["term"]: weigh(r) for r in passed(by_word).collect()}
     if kept:
         # the words under a stem that toxic documents hold more often than clean ones, with the stem's weight
         begin = F.broadcast(sample.sparkSession.createDataFrame([(k,) for k in kept], "stem string"))
-        under = by_word.filter(longer & (F.col("t") * n0 > F.col("c") * n1)).select("term", "t", F.explode(prefixes).alias("stem")).join(begin, "stem")
-        for r in under.orderBy(F.desc("t"), "term").limit(TERMS).collect():
+        under = by_word.filter(longer & (F.col("t") * n0 > F.col("c") * n1)).select("term", F.explode(prefixes).alias("stem")).join(begin, "stem")
+        for r in under.collect():
             whole.setdefault(r["term"], kept[r["stem"]])
-    return whole, kept, int(n1), int(n0)
-
-
-def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", mod: int = 5, rest: int = 0, rows: int = TRAIN_ROWS) -> Model:
+    met = {r["term"]: r for r in by_word.filter(F.col("term").isin(*INSULTS)).collect()}
+    added = [w for w in INSULTS if w not in whole and (w not in met or met[w]["t"] * n0 > met[w]["c"] * n1)]
+    whole.update(dict.fromkeys(added, INSULT_WEIGHT))
+    exact = frozenset(w for w in added if w not in met)
+    discard(docs, by_word, counted)
+    return whole, kept, exact, int(n1), int(n0)
+
+
+def misleading(met: dict[str, tuple[int, int]], whole: dict[str, float], stems: dict[str, float], n1: int, n0: int) -> frozenset[str]:
+    """Terms whose misspellings tell little: of the documents of the sample that hold any (met: toxic and clean ones for each
+    term) too small a share is toxic.  Terms under one stem are judged together as well."""
+    little = lambda t, c: c > 0 and (t + 0.5) / (n1 + 1) < LEAST_SHARE * ((t + 0.5) / (n1 + 1) + (c + 0.5) / (n0 + 1))
+    out = {term for term, (t, c) in met.items() if little(t, c)}
+    under: dict[str, list[str]] = {}
+    for term in whole:
+        for n in range(STEM[0], min(STEM[1], len(term)) + 1):
+            if term[:n] in stems:
+                under.setdefault(term[:n], []).append(term)
+    for terms in under.values():
+        if little(sum(met[t][0] for t in terms if t in met), sum(met[t][1] for t in terms if t in met)):
+            out.update(terms)
+    return frozenset(out)
+
+
+def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", mod: int = 5, rest: int = 0, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """Lexicon, clean near-misses and logistic model from a bounded sample of labelled documents that aren't held out."""
-    sample = training_sample(documents, labels, label, mod, rest, rows)
-    whole, stems, n1, n0 = learn_terms(sample)
+    sample = training_sample(documents, labels, label, mod, rest, rows, chars)
+    whole, stems, exact, n1, n0 = learn_terms(sample)
     if not n1 or not n0:
-        return Model(bias=3.0 if n1 else -3.0)
-    model = Model(whole, stems)
+        discard(sample)
+        return Model(bias=3.0, slope=0.0) if n1 else Model(dict.fromkeys(INSULTS, INSULT_WEIGHT))
+    model = Model(whole, stems, exact=exact)
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def near(batches):
         scorer = Scorer(sent.value)
         for b in batches:
-            found: list[str] = []
+            ys, found, terms = [], [], []
             for y, t in zip(b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if not y:
-                    found += [w for w in set(words((t or "").lower())) if (m := scorer.match(w)) and m[1]]
-            yield pa.RecordBatch.from_pydict({"w": pa.array(found, pa.string())})
-
-    # words of clean documents within reach of a term; their number follows the sample's bound
-    clean = frozenset(r["w"] for r in map_texts(sample.select("y", "text"), near, "w string").groupBy("w").count().filter("count > 1").select("w").collect())
-    model = Model(whole, stems, clean)
+                hits = {w: m[0] for w in set(words((t or "").lower())) if (m := scorer.match(w)) and m[1]}
+                ys += [y] * len(hits)
+                found += hits
+                terms += hits.values()
+            yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "w": pa.array(found, pa.string()), "term": pa.array(terms, pa.string())})
+
+    # words within reach of a term; they and the terms are words of the sample
+    reach = materialise(map_texts(sample.select("y", "text"), near, "y int, w string, term string"), "reach")
+    clean = frozenset(r["w"] for r in reach.filter("y = 0").groupBy("w").count().filter("count > 1").select("w").collect())
+    spelled = reach.filter(~F.col("w").isin(*clean)) if len(clean) < 1000 else reach.join(F.broadcast(sample.sparkSession.createDataFrame([(w,) for w in clean], "w string")), "w", "left_anti")
+    met = {r["term"]: (r["t"], r["c"]) for r in spelled.groupBy("term").agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("c")).collect()}
+    exact |= misleading(met, whole, stems, n1, n0)
+    discard(reach)
+    model = Model(whole, stems, clean, exact)
     sent2 = sample.sparkSession.sparkContext.broadcast(model)
 
     def masses(batches):
@@ -345,9 +396,13 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", mod: i
             yield pa.RecordBatch.from_pydict({"y": pa.array(b.column("y").to_pylist(), pa.int32()), "mass": pa.array([scorer.mass(t) for t in b.column("text").to_pylist()], pa.float64())})
 
     got = map_texts(sample.select("y", "text"), masses, "y int, mass double").collect()
+    discard(sample)
     y, x = np.array([r["y"] for r in got], float), np.log1p(np.array([r["mass"] for r in got], float))
     order = np.lexsort((x, y))
     model.bias, model.slope = logistic(x[order], y[order])
+    if not model.slope:
+        # nothing tells the classes apart
+        model.bias = math.log(y.sum() / (len(y) - y.sum()))
     return model
 
 
@@ -362,7 +417,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
         beta -= step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0]), float(max(0.0, beta[1]))
+    return float(beta[0]), float(beta[1]) if beta[1] > 1e-6 else 0.0
 
 
 def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
