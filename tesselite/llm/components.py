@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselite.llm._util import materialise
+from tesselite.llm._util import discard, materialise, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for edges (a, b): each node's component is its least node.  Large-star and small-star steps
-    alternate until the edges stay as they are; each round is written to the shared folder."""
+    """(row, component) for edges (a, b) of numbers: each node's component is its least node.  Large-star and small-star steps
+    alternate until the edges stay as they are; each round is written to the shared folder, and the round before deleted.
+    A hub's edges are dealt among many tasks.  Edges with a null end or from a node to itself are ignored; repeated
+    edges count once; an empty table has no nodes.  The result is written; ``discard`` deletes it."""
     now = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        large = spread_join(both.filter("b > a"), least, "a", F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         # every edge now leads from a node to a smaller one
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a")
+        small = spread_join(large, large.groupBy("a").agg(F.min("b").alias("m")), "a", F.col("b"))
         out = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        now = materialise(out, "edges")
+        old, now = now, materialise(out, "edges")
+        discard(old)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             break
         seen = state
-    return now.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.col("m").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    named = now.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("row"), F.col("m").alias("component")).unionByName(now.select(F.col("b").alias("row"), F.col("b").alias("component")).distinct())
+    out = materialise(named, "components")
+    discard(now)
+    return out

@@ -12,22 +12,31 @@ size.
 Documents are sets of five-word shingles (lower case, split at white space);
 weights are 1 ("presence", Jaccard of sets) or how often a shingle stands
 there ("count").  A shorter text is one shingle.  Equal texts become one
-node first.  Nodes that share a band of a signature are compared exactly by their
-shingles, in two steps that neither list all pairs of a bucket nor lose one:
+node first.  One pass over the texts gives signatures and sorted shingles, which
+are written once; after that texts aren't read again.  Nodes that share a band of a
+signature are compared exactly by their shingles, in two steps that neither list all
+pairs of a bucket nor lose one:
 
 1. each member of a bucket with the bucket's pivot, its member that shares most
    bands with others;
-2. where a member stays outside the pivot's component, it meets all members of
-   its bucket, in blocks: where signatures agree as often as a similarity of
-   ``SIMILARITY`` makes all but certain, the shingles are compared at once, and
-   only links leave the block.
+2. where a member stays outside the pivot's component, it meets those of its
+   bucket's members that share one of its rarest shingles.  Two sets with a
+   similarity of s have at least a share s of either in common, so that of each the
+   rarest share 1 - s and one more hold a common one.  Boilerplate is never
+   among the rarest, so that a cluster that shares it alone makes no pairs.  Rows of which
+   even the rarest shingles are held by many meet within blocks, from which only links
+   come out.
+
+Every pair that shares a band and whose ends are not yet connected is so decided by
+exact counts; agreement of signatures drops nothing.
 
 Classes are the components of all pairs with a similarity of ``SIMILARITY`` or more,
 named by their least doc_id.
 
 Null texts count as empty.  Texts without words are copies of equal texts
 alone.  Repeated rows are copies.  Null ids are kept, but name a class only where all
-its ids are null.  Texts of any length are read whole.  Extra columns are ignored.
+its ids are null.  Texts of any length are read whole, hashed in pieces.  Extra columns, maps
+too, are ignored or kept as they are.  An empty table has no classes.
 """
 
 from __future__ import annotations
@@ -37,10 +46,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselite.llm._util import map_texts, materialise, whole_row
+from tesselite.llm import hashing
+from tesselite.llm._util import discard, map_texts, materialise, spread_join, whole_row
 from tesselite.llm.components import components
 
 SHINGLE = 5
@@ -48,19 +59,19 @@ SIMILARITY = 0.8
 BANDS = 28
 ROWS = 5
 COORDINATES = BANDS * ROWS
-#: Share of equal coordinates below which a similarity of 0.8 is out of the question (over four standard errors).
-LEAST_AGREEMENT = 0.65
 #: First region of ranks; the next ones double.
 FIRST_RANK = 2.0**-4
 #: Members compared with one copy of a pivot's shingles.
 STAR = 256
-#: Members that are held at once where a pivot left some outside, and members that come by in one task.
+#: Pairs that one shingle may propose; rows of which a rare shingle proposes more meet in blocks.
+PROPOSED = 4096
+#: Rows that a block holds, and rows that come by in one task.
 HELD = 512
 PASSING = 2048
+#: Equal texts that a task remembers, in one of two generations.
+SEEN = 200_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_POLY = 0x100000001B3
-_tables: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,53 +80,61 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _tables
-    if _tables is None or len(_tables[0]) < n:
-        n = 1 << max(12, (n - 1).bit_length())
-        out = []
-        for base in (_POLY, pow(_POLY, -1, 1 << 64)):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            out.append(np.multiply.accumulate(x))
-        _tables = out[0], out[1]
-    return _tables
+@cache
+def _point_table() -> np.ndarray:
+    return mix(np.arange(1 << 16, dtype=np.uint64) + _GOLD)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of every word."""
-    words = (text or "").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    power, inverse = _powers(len(c) + 1)
-    ends = np.flatnonzero(c == 32)
-    total = np.cumsum(mix(c + _GOLD) * power[: len(c)])
-    return mix((total[ends[1:] - 1] - total[ends[:-1]]) * inverse[ends[:-1] + 1])
+def _of_point(c: np.ndarray) -> np.ndarray:
+    return _point_table()[c] if not len(c) or c.max() < 1 << 16 else mix(c.astype(np.uint64) + _GOLD)
 
 
-def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
-    """A hash of every run of n words, in order and with repeats; of all words where there are fewer."""
-    w = word_hashes(text)
-    if not len(w):
-        return w
-    out = np.zeros(max(1, len(w) - n + 1), np.uint64)
-    for k in range(min(n, len(w))):
+def shingles_of(lows: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of every run of n words of the lower-cased texts, in order and with repeats; of all words of
+    a text where there are fewer."""
+    w, doc = hashing.words(lows, _of_point)
+    w = mix(w)
+    out = np.zeros(max(0, len(w) - n + 1), np.uint64)
+    for k in range(n):
         out = mix(out + _GOLD) + w[k : k + len(out)]
-    return mix(out)
+    inside = doc[: len(out)] == doc[n - 1 :]
+    out, owner = mix(out[inside]), doc[: len(out)][inside]
+    count = np.bincount(doc, minlength=len(lows))
+    small = np.flatnonzero((count > 0) & (count < n))
+    if len(small):
+        first = np.searchsorted(doc, small)
+        short = np.zeros(len(small), np.uint64)
+        for k in range(n - 1):
+            own = count[small] > k
+            short[own] = mix(short[own] + _GOLD) + w[first[own] + k]
+        out, owner = np.concatenate((out, mix(short))), np.concatenate((owner, small))
+        order = np.argsort(owner, kind="stable")
+        out, owner = out[order], owner[order]
+    return out, owner
+
+
+def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    return shingles_of(hashing.lowered([text]), n)[0]
 
 
-def weighted(hashes: np.ndarray, weighting: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct elements in order, and their weights."""
-    x, n = np.unique(hashes, return_counts=True)
-    return x, n.astype(np.float64) if weighting == "count" else np.ones(len(x))
+def weighted_sets(x: np.ndarray, doc: np.ndarray, docs: int, weighting: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element, weight, text number) of the distinct elements, sorted within each text.  doc ascends."""
+    x = x.copy()
+    ends = np.searchsorted(doc, np.arange(docs), side="right")
+    at = 0
+    for end in ends.tolist():
+        x[at:end].sort()
+        at = end
+    new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])))) if len(x) else np.empty(0, np.int64)
+    n = np.diff(np.append(new, len(x)))
+    return x[new], n.astype(np.float64) if weighting == "count" else np.ones(len(new)), doc[new]
 
 
-def elements(hashes: np.ndarray, weighting: str) -> np.ndarray:
-    """A plain set whose Jaccard similarity is the weighted one: each occurrence counts as an element."""
-    x, n = np.unique(hashes, return_counts=True)
-    if weighting != "count" or n.max(initial=1) == 1:
+def elements(x: np.ndarray, w: np.ndarray, weighting: str) -> np.ndarray:
+    """A plain sorted set whose Jaccard similarity is the weighted one: each occurrence counts as an element."""
+    if weighting != "count" or w.max(initial=1) == 1:
         return x
+    n = w.astype(np.int64)
     occurrence = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     return np.unique(mix(np.repeat(x, n) + occurrence.astype(np.uint64) * _GOLD))
 
@@ -133,50 +152,64 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def signature(x: np.ndarray, w: np.ndarray, k: int = COORDINATES) -> np.ndarray:
-    """The earliest dart at each of k coordinates."""
-    out = np.zeros(k, np.uint64)
-    total = float(w.sum())
-    if not total > 0:
-        return out
-    reach = k * (np.log(k) + 2) / total
-    while True:
-        ids, ranks = [], []
-        low_w, high_w, region_w = 0.0, 1.0, 0
-        while True:
-            own = w > low_w
-            if not own.any():
-                break
-            e, we = (x, w) if own.all() else (x[own], w[own])
-            low_r, high_r, region_r = 0.0, FIRST_RANK, 0
-            while low_r < reach:
-                seed = mix(e + np.uint64(((region_w << 8 | region_r) + 1) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
-                n = np.searchsorted(_poisson((high_w - low_w) * (high_r - low_r)), _unit(seed), side="right")
-                hit = np.flatnonzero(n)
-                n = n[hit]
-                dart = mix(np.repeat(seed[hit], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1).astype(np.uint64) * _M2)
-                rank = low_r + (high_r - low_r) * _unit(mix(dart + _GOLD))
-                keep = rank < reach
-                if (we < high_w).any():
-                    keep &= low_w + (high_w - low_w) * _unit(mix(dart + _M1)) < np.repeat(we[hit], n)
-                ids.append(dart[keep])
-                ranks.append(rank[keep])
-                low_r, high_r, region_r = high_r, 2 * high_r, region_r + 1
-            low_w, high_w, region_w = high_w, 2 * high_w, region_w + 1
-        dart, rank = np.concatenate(ids), np.concatenate(ranks)
-        at = (((dart & np.uint64(0xFFFFFFFF)) * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
-        if len(np.unique(at)) == k:
-            order = np.argsort(-rank, kind="stable")
-            out[at[order]] = dart[order]
-            return out
+def _throw(x: np.ndarray, w: np.ndarray, doc: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Darts (hash, rank, text number) of the elements up to their text's reach, region by region."""
+    out = []
+    low_w, high_w, region_w = 0.0, 1.0, 0
+    own = np.arange(len(x))
+    while len(own := own[w[own] > low_w]):
+        low_r, high_r, region_r = 0.0, FIRST_RANK, 0
+        part = own
+        while len(part := part[reach[doc[part]] > low_r]):
+            seed = mix(x[part] + np.uint64(((region_w << 8 | region_r) + 1) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
+            n = np.searchsorted(_poisson((high_w - low_w) * (high_r - low_r)), _unit(seed), side="right")
+            hit = np.flatnonzero(n)
+            n = n[hit]
+            who = np.repeat(part[hit], n)
+            dart = mix(np.repeat(seed[hit], n) + (np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + 1).astype(np.uint64) * _M2)
+            rank = low_r + (high_r - low_r) * _unit(mix(dart + _GOLD))
+            keep = (rank < reach[doc[who]]) & (low_w + (high_w - low_w) * _unit(mix(dart + _M1)) < w[who])
+            out.append((dart[keep], rank[keep], doc[who[keep]]))
+            low_r, high_r, region_r = high_r, 2 * high_r, region_r + 1
+        low_w, high_w, region_w = high_w, 2 * high_w, region_w + 1
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def signatures_of(x: np.ndarray, w: np.ndarray, doc: np.ndarray, docs: int, k: int = COORDINATES) -> np.ndarray:
+    """The earliest dart at each of k coordinates of every text; zeros for texts without weight."""
+    out = np.zeros((docs, k), np.uint64)
+    total = np.bincount(doc, weights=w, minlength=docs)
+    open_ = total > 0
+    reach = np.where(open_, k * (np.log(k) + 2) / np.where(open_, total, 1.0), 0.0)
+    while open_.any():
+        if not open_.all():
+            mine = open_[doc]
+            x, w, doc = x[mine], w[mine], doc[mine]
+        dart, rank, owner = _throw(x, w, doc, np.where(open_, reach, 0.0))
+        at = owner * k + (((dart & np.uint64(0xFFFFFFFF)) * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(-rank, kind="stable")
+        found = np.zeros(docs * k, np.uint64)
+        met = np.zeros(docs * k, bool)
+        found[at[order]] = dart[order]
+        met[at] = True
+        full = met.reshape(docs, k).all(axis=1)
+        out[full] = found.reshape(docs, k)[full]
         reach *= 2
+        open_ = open_ & ~full
+    return out
+
+
+def signature(x: np.ndarray, w: np.ndarray, k: int = COORDINATES) -> np.ndarray:
+    """One set's signature."""
+    return signatures_of(x, np.asarray(w, np.float64), np.zeros(len(x), np.int64), 1, k)[0]
 
 
 def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    parts = sig[: bands * rows].reshape(bands, rows)
-    out = mix(np.arange(1, bands + 1).astype(np.uint64) * _GOLD)
+    """A hash of each band of each signature."""
+    parts = sig.reshape(len(sig), bands, rows)
+    out = np.broadcast_to(mix(np.arange(1, bands + 1).astype(np.uint64) * _GOLD), parts.shape[:2])
     for k in range(rows):
-        out = mix(out * _M1 + parts[:, k])
+        out = mix(out * _M1 + parts[:, :, k])
     return out.view(np.int64)
 
 
@@ -186,35 +219,40 @@ def _node(text):
 
 
 def signatures(documents: DataFrame, weighting: str) -> DataFrame:
-    """(node, first_id, bands, sig) of every distinct text that has words; null bands for texts without."""
-    rows = documents.select("doc_id", "text", _node(F.col("text")).alias("node")).select(F.col("doc_id").alias("_key"), F.col("text").alias("_text"), "node")
+    """(key, row, node, own, bands, items): a number and its text's name for every row; where a task meets a text with words first
+    (``own``) its bands and sorted shingles as well."""
+    rows = documents.select(F.col("doc_id").alias("_key"), F.col("text").alias("_text"), _node(F.col("text")).alias("_node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        young: set[bytes] = set()
+        old: set[bytes] = set()
         for b in batches:
-            bands, sig = [], []
-            for t in b.column("_text").to_pylist():
-                x, w = weighted(shingles(t), weighting)
-                s = signature(x, w) if len(x) else None
-                bands.append(None if s is None else band_keys(s))
-                sig.append(None if s is None else (s >> np.uint64(56)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_pydict({"key": b.column("_key"), "node": b.column("node"), "bands": pa.array(bands, pa.list_(pa.int64())), "sig": pa.array(sig, pa.binary())})
-
-    made = map_texts(rows, run, f"key {rows.schema['_key'].dataType.simpleString()}, node binary, bands array<bigint>, sig binary")
-    # equal texts have equal values, so that any of them will do
-    return made.groupBy("node").agg(F.min("key").alias("first_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-
-
-def _sets(documents: DataFrame, wanted: DataFrame, weighting: str) -> DataFrame:
-    """(node, items): the sorted shingles of the wanted nodes, kept in the shared folder."""
-    texts = documents.select(F.col("text").alias("_text"), _node(F.col("text")).alias("node")).join(wanted, "node", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            items = [elements(shingles(t), weighting).tobytes() for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "items": pa.array(items, pa.binary())})
-
-    made = map_texts(texts, run, "node binary, items binary")
-    return materialise(made.groupBy("node").agg(F.first("items").alias("items")), "shingles")
+            nodes = b.column("_node").to_pylist()
+            new = []
+            for k, node in enumerate(nodes):
+                if node not in young:
+                    if node not in old:
+                        new.append(k)
+                    young.add(node)
+                    if len(young) >= SEEN:
+                        young, old = set(), young
+            lows = hashing.lowered(b.column("_text").take(pa.array(new, pa.int64())).to_pylist())
+            bands: list = [None] * len(nodes)
+            items: list = [None] * len(nodes)
+            for first, end in hashing.groups(lows):
+                docs = end - first
+                x, w, doc = weighted_sets(*shingles_of(lows[first:end]), docs, weighting)
+                keys = band_keys(signatures_of(x, w, doc, docs))
+                cuts = np.searchsorted(doc, np.arange(docs + 1)).tolist()
+                for d in range(docs):
+                    if cuts[d] < cuts[d + 1]:
+                        bands[new[first + d]] = keys[d]
+                        items[new[first + d]] = elements(x[cuts[d] : cuts[d + 1]], w[cuts[d] : cuts[d + 1]], weighting).tobytes()
+            yield pa.RecordBatch.from_pydict({"key": b.column("_key"), "row": pa.array(np.arange(number, number + len(nodes)), pa.int64()), "node": b.column("_node"), "own": pa.array([i is not None for i in items], pa.bool_()), "bands": pa.array(bands, pa.list_(pa.int64())), "items": pa.array(items, pa.binary())})
+            number += len(nodes)
+
+    return map_texts(rows, run, f"key {rows.schema['_key'].dataType.simpleString()}, row bigint, node binary, own boolean, bands array<bigint>, items binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -231,9 +269,9 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are as similar.  Sets of many a meet one copy of b's set at a time: they are sorted
     behind it in their partition, and a b with many a has several copies."""
     few = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).alias("parts"))
-    dealt = pairs.join(few, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
-    members = dealt.join(sets.withColumnRenamed("node", "a"), "a").select("b", "part", F.lit(1).alias("role"), "a", "items")
-    pivots = dealt.select("b", "part").distinct().join(sets.withColumnRenamed("node", "b"), "b").select("b", "part", F.lit(0).alias("role"), F.col("b").alias("a"), "items")
+    dealt = spread_join(pairs, few, "b", F.col("a")).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
+    members = spread_join(dealt, sets.select(F.col("row").alias("a"), "items"), "a", F.col("b")).select("b", "part", F.lit(1).alias("role"), "a", "items")
+    pivots = few.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(sets.withColumnRenamed("row", "b"), "b").select("b", "part", F.lit(0).alias("role"), F.col("b").alias("a"), "items")
     rows = pivots.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,92 +286,158 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 if similar(own, pivot, similarity):
                     a.append(other)
                     b.append(node)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return map_texts(rows, run, "a binary, b binary")
+    return map_texts(rows, run, "a bigint, b bigint")
 
 
-def _rest(members: DataFrame, sigs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between members of one bucket that its pivot left in different components.  members: bucket, node, n,
-    pivot, component, home (the pivot's component).
+def _rarest(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(row, size, token): of each row's shingles the rarest among these rows, as many as any set as similar must share
+    one of; without those that no other row holds."""
 
-    Members outside their bucket's home meet all members of its bucket.  They are dealt by home, which many buckets of
-    one group share, so that a pair meets once; those outside are held in parts of HELD, and the others come by in
-    parts of PASSING, each first by its signature and then exactly.  Pairs are never rows: only links come out."""
-    outside = (F.col("component") != F.col("home")) & (F.col("n") > 2) & (F.col("node") != F.col("pivot"))
-    ask = members.filter(outside).select("bucket", "home", "node", "component")
-    held = ask.select("home", "node", "component").distinct()
-    held = held.join(held.groupBy("home").agg(F.ceil(F.count("*") / HELD).alias("parts")), "home").withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")))
-    asked = members.select("bucket", "node", "component").join(ask.select("bucket", "home").distinct(), "bucket").select("home", "node", "component").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = [np.frombuffer(i, np.int64) for i in b.column("items").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"row": b.column("row"), "size": pa.array(list(map(len, tokens)), pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+
+    listed = map_texts(rows.select("row").distinct().join(sets, "row"), run, "row bigint, size bigint, tokens array<bigint>")
+    each = materialise(listed.select("row", "size", F.explode("tokens").alias("token")), "tokens")
+    often = each.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    # a row's list is as long as its text
+    sorted_ = each.join(often, "token", "left").groupBy("row", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("t"))
+    most = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    out = materialise(sorted_.select("row", "size", F.explode(F.transform(F.filter(F.slice("t", 1, most.cast("int")), lambda x: x["n"] > 1), lambda x: x["token"])).alias("token")), "rarest")
+    discard(each)
+    return out
+
+
+def _rest(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of one bucket that its pivot left in different components.  members: bucket, row, n,
+    pivot, component, home (the pivot's component).  Rows outside their bucket's home ask, and all members of their bucket
+    answer; both are known by home, which many buckets of one group share."""
+    outside = (F.col("component") != F.col("home")) & (F.col("n") > 2) & (F.col("row") != F.col("pivot"))
+    ask = materialise(members.filter(outside).select("bucket", "home", "row", "component").distinct(), "outside")
+    if ask.isEmpty():
+        return ask.select(F.col("row").alias("a"), F.col("row").alias("b"))
+    held = ask.select("home", "row", "component").distinct()
+    asked = materialise(members.select("bucket", "row", "component").join(ask.select("bucket", "home").distinct(), "bucket").select("home", "row", "component").distinct(), "asked")
+    rare = _rarest(asked, sets, similarity)
+    mine = rare.join(held, "row").select("home", "token", F.col("row").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"))
+    theirs = rare.join(asked, "row").select("home", "token", F.col("row").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"))
+    counts = mine.groupBy("home", "token").agg(F.count("*").alias("m")).join(theirs.groupBy("home", "token").agg(F.count("*").alias("k")), ["home", "token"])
+    counts = materialise(counts.select("home", "token", (F.col("m") * F.col("k") > PROPOSED).alias("hot")), "proposals")
+    cold, hot = counts.filter("not hot").drop("hot"), counts.filter("hot").drop("hot")
+    alike = (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9)
+    pairs = mine.join(cold, ["home", "token"]).join(theirs, ["home", "token"]).filter(alike)
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = verify(pairs, sets, similarity)
+    if not hot.isEmpty():
+        there = lambda side, name: side.join(hot, ["home", "token"]).select("home", F.col(name).alias("row")).distinct()
+        links = links.unionByName(_blocks(held.join(there(mine, "a"), ["home", "row"]), asked.join(there(theirs, "b"), ["home", "row"]), sets, similarity))
+    out = materialise(links, "links")
+    discard(ask, asked, rare, counts, pairs)
+    return out
+
+
+def _blocks(held: DataFrame, asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between rows (home, row, component) of one home.  Those that ask are held in parts of HELD, with an index
+    of their shingles, and the others come by in parts of PASSING; one look-up counts what a row shares with all that are held."""
+    held = held.join(held.groupBy("home").agg(F.ceil(F.count("*") / HELD).alias("parts")), "home").withColumn("i", F.pmod(F.xxhash64("row"), F.col("parts")))
     asked = asked.join(held.groupBy("home").agg(F.max("parts").alias("parts")), "home")
     blocks = asked.groupBy("home").agg(F.ceil(F.count("*") / PASSING).alias("blocks"))
     up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     held = held.join(blocks, "home").withColumn("j", up_to("blocks")).withColumn("role", F.lit(0))
-    asked = asked.join(blocks, "home").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).withColumn("i", up_to("parts")).withColumn("role", F.lit(1))
+    asked = asked.join(blocks, "home").withColumn("j", F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks"))).withColumn("i", up_to("parts")).withColumn("role", F.lit(1))
     key = ["home", "i", "j", "role"]
-    known = sigs.select("node", "sig").join(sets, "node")
-    rows = held.select(*key, "node", "component").unionByName(asked.select(*key, "node", "component")).join(known, "node")
-    dealt = rows.select(*key, "node", "component", "sig", "items").repartition("home", "i", "j").sortWithinPartitions(*key)
-    columns, least = dealt.columns, int(np.ceil(LEAST_AGREEMENT * COORDINATES))
+    rows = held.select(*key, "row", "component").unionByName(asked.select(*key, "row", "component")).join(sets, "row")
+    dealt = rows.select(*key, "row", "component", "items").repartition("home", "i", "j").sortWithinPartitions(*key)
+    columns = dealt.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, table = None, [], None
+        at, own, index = None, [], None
         for batch in batches:
             a, b = [], []
-            for home, i, j, role, node, component, sig, items in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            for home, i, j, role, row, component, items in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if at != (home, i, j):
-                    at, own, table = (home, i, j), [], None
+                    at, own, index = (home, i, j), [], None
                 mine = np.frombuffer(items, np.uint64)
                 if role == 0:
-                    own.append((node, component, sig, mine))
+                    own.append((row, component, mine))
                     continue
-                if table is None:
-                    table = np.frombuffer(b"".join(o[2] for o in own), np.uint8).reshape(len(own), -1)
-                for k in np.flatnonzero((table == np.frombuffer(sig, np.uint8)).sum(axis=1) >= least).tolist():
-                    if own[k][1] != component and similar(own[k][3], mine, similarity):
-                        a.append(node)
+                if index is None:
+                    index = Index([o[2] for o in own])
+                for k in index.similar(mine, similarity).tolist():
+                    if own[k][1] != component:
+                        a.append(row)
                         b.append(own[k][0])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return map_texts(dealt, run, "a bigint, b bigint")
+
+
+class Index:
+    """Sorted sets by their elements."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.element, self.owner = every[order], np.repeat(np.arange(len(sets)), self.size)[order]
 
-    return map_texts(dealt, run, "a binary, b binary")
+    def similar(self, x: np.ndarray, similarity: float) -> np.ndarray:
+        """Numbers of the sets whose Jaccard similarity with x is as high, by exact counts."""
+        low, high = np.searchsorted(self.element, x), np.searchsorted(self.element, x, side="right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.size))
+        return np.flatnonzero((both > 0) & (both >= similarity * (self.size + len(x) - both) - 1e-9))
 
 
-def classes(documents: DataFrame, *, similarity: float = SIMILARITY, weighting: str = "presence") -> DataFrame:
-    """(node, component, class_id) for every distinct text."""
-    sigs = materialise(signatures(documents, weighting), "signatures")
-    banded = sigs.select("node", F.explode("bands").alias("bucket"))
+def classes(documents: DataFrame, *, similarity: float = SIMILARITY, weighting: str = "presence") -> tuple[DataFrame, DataFrame]:
+    """(key, row, node) of every row, and (node, component, class_id) of every distinct text."""
+    signed = materialise(signatures(documents, weighting), "signatures")
+    nodes = materialise(signed.groupBy("node").agg(F.min("key").alias("first_id"), F.min(F.when(F.col("own"), F.col("row"))).alias("row")), "nodes")
+    banded = signed.filter("own").select("row", "bands").join(nodes.select("row"), "row").select("row", F.explode("bands").alias("bucket"))
     full = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialise(banded.join(full, "bucket"), "buckets")
-    popular = members.groupBy("node").agg(F.sum("n").alias("popular"))
-    pivots = members.join(popular, "node").groupBy("bucket").agg(F.max_by("node", F.struct("popular", "node")).alias("pivot"))
-    members = materialise(members.join(pivots, "bucket"), "stars")
-    stars = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    sets = _sets(documents, members.select("node").distinct(), weighting)
+    buckets = materialise(banded.join(full, "bucket"), "buckets")
+    popular = buckets.groupBy("row").agg(F.sum("n").alias("popular"))
+    pivots = buckets.join(popular, "row").groupBy("bucket").agg(F.max_by("row", F.struct("popular", "row")).alias("pivot"))
+    members = materialise(buckets.join(pivots, "bucket"), "members")
+    discard(buckets)
+    sets = materialise(signed.filter("own").select("row", "items").join(members.select("row").distinct(), "row", "left_semi"), "shingles")
+    stars = materialise(members.filter("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     links = materialise(verify(stars, sets, similarity), "links")
     found = components(links)
-    named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    home = found.select(F.col("node").alias("pivot"), F.col("component").alias("home"))
-    named = named.join(home, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
-    more = materialise(_rest(named, sigs, sets, similarity), "links")
+    named = spread_join(members, found, "row", F.col("bucket"), left=True).withColumn("component", F.coalesce("component", "row"))
+    home = found.select(F.col("row").alias("pivot"), F.col("component").alias("home"))
+    named = spread_join(named, home, "pivot", F.col("row"), left=True).withColumn("home", F.coalesce("home", "pivot"))
+    more = _rest(named, sets, similarity)
+    discard(members, stars, sets)
     if not more.isEmpty():
-        found = components(links.unionByName(more))
-    whole = sigs.select("node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        old, found = found, components(links.unionByName(more))
+        discard(old)
+    whole = nodes.join(found, "row", "left").withColumn("component", F.coalesce(F.col("component").cast("string"), F.hex("node")))
     ids = whole.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    return whole.join(ids, "component").select("node", "component", "class_id")
+    out = materialise(spread_join(whole, ids, "component", F.col("node")).select("node", "component", "class_id"), "classes")
+    rows = materialise(signed.select("key", "row", "node"), "rows")
+    discard(signed, nodes, links, more, found)
+    return rows, out
 
 
 def near_copies(documents: DataFrame, *, similarity: float = SIMILARITY, weighting: str = "presence") -> DataFrame:
     """(doc_id, class_id) of every row."""
-    return documents.select("doc_id", _node(F.col("text")).alias("node")).join(materialise(classes(documents, similarity=similarity, weighting=weighting), "classes"), "node").select("doc_id", "class_id")
+    rows, named = classes(documents, similarity=similarity, weighting=weighting)
+    return spread_join(rows, named, "node", F.col("row")).select(F.col("key").alias("doc_id"), "class_id")
 
 
 def keep_one(documents: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class, with the documents' own columns: that of the class's id."""
-    named = materialise(classes(documents, similarity=similarity), "classes")
-    own = documents.select(whole_row(documents).alias("_doc"), F.col("doc_id").alias("_id"), _node(F.col("text")).alias("node"))
-    chosen = own.join(named, "node").filter(F.col("_id").eqNullSafe(F.col("class_id")))
-    repeated = own.select("_id", "node").join(named, "node").filter(F.col("_id").eqNullSafe(F.col("class_id"))).groupBy("component").count().filter("count > 1")
-    if repeated.isEmpty():
-        return chosen.select("_doc.*")
-    # rows that carry one id, equal or not: the greatest row stays
-    return chosen.groupBy("component").agg(F.max("_doc").alias("_doc")).select("_doc.*")
+    """One row of each class, with the documents' own columns: that of the class's id.  Of several rows with that id the
+    one with the least text counts, and of equal texts the one that is greatest as JSON."""
+    rows, named = classes(documents, similarity=similarity)
+    named_rows = spread_join(rows, named, "node", F.col("row")).filter(F.col("key").eqNullSafe(F.col("class_id")))
+    chosen = materialise(named_rows.groupBy("component").agg(F.min(F.struct("node", "key")).alias("c"), F.count("*").alias("n")).select("c.node", "c.key", "n"), "chosen")
+    own = documents.select(whole_row(documents).alias("_doc"), F.col("doc_id").alias("_id"), _node(F.col("text")).alias("_node"))
+    met = own.join(chosen, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("key")))
+    if chosen.filter("n > 1").isEmpty():
+        return met.select("_doc.*")
+    return met.groupBy("node").agg(F.max_by("_doc", F.to_json("_doc")).alias("_doc")).select("_doc.*")

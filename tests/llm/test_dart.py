@@ -113,3 +113,62 @@ def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {r.doc_id: r.class_id for r in queries.op8_near_copies(spark, sf).collect()} == brute(rows)
+
+
+def test_texts_together_sign_like_one_alone():
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice(["a", "b", "cé", "d"]) for _ in range(rnd.choice([0, 1, 3, 4, 5, 6, 40, 400]))) for _ in range(60)] + [None, "x" * 600_000 + " y z", "w " * 300_000]
+    lows = dart.hashing.lowered(texts)
+    for weighting in ("presence", "count"):
+        x, w, doc = dart.weighted_sets(*dart.shingles_of(lows), len(lows), weighting)
+        sig = dart.signatures_of(x, w, doc, len(lows))
+        for d, t in enumerate(texts):
+            ox, n = np.unique(dart.shingles(t), return_counts=True)
+            assert (x[doc == d] == ox).all()
+            assert (sig[d] == dart.signature(ox, n if weighting == "count" else np.ones(len(ox)))).all()
+
+
+def test_an_index_counts_exactly():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(120)]
+    index = dart.Index(sets)
+    for x in sets:
+        assert index.similar(x, 0.8).tolist() == [k for k, y in enumerate(sets) if dart.similar(x, y, 0.8)]
+    assert len(dart.Index([]).similar(sets[0], 0.8)) == 0
+
+
+def boilerplate(n=350):
+    """Texts that share from half to most of their words, many of them just below or above the least similarity."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    own = lambda k: [rnd.choice(words) for _ in range(k)]
+    base = own(100)
+    texts = [" ".join(base[: rnd.randrange(55, 100)] + own(rnd.randrange(2, 40))) for _ in range(n)]
+    return list(enumerate(texts + [t + " " + rnd.choice(words) for t in rnd.sample(texts, 40)]))
+
+
+def test_clusters_around_boilerplate_lose_no_link(spark, monkeypatch):
+    rows = boilerplate()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert {r.doc_id: r.class_id for r in dart.near_copies(df).collect()} == want
+    # every row of the rest meets in blocks
+    monkeypatch.setattr(dart, "PROPOSED", 0)
+    monkeypatch.setattr(dart, "HELD", 64)
+    monkeypatch.setattr(dart, "PASSING", 128)
+    assert {r.doc_id: r.class_id for r in dart.near_copies(df).collect()} == want
+
+
+def test_one_text_may_be_most_rows(spark):
+    rows = [(i, "one text that very many rows hold alike") for i in range(6000)] + [(7000 + i, f"text {i} of its own, unlike all others here {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.class_id for r in dart.near_copies(df).collect()}
+    assert got == brute(rows)
+
+
+def test_maps_and_repeated_ids_are_kept(spark):
+    rows = [(1, "a b c d e f", {"k": "x"}), (1, "a b c d e f", {"k": "y"}), (1, "quite another text", {}), (2, None, None), (2, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more map<string,string>")
+    kept = dart.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text or "", str(r.more)) for r in kept.collect()) in ([(1, "a b c d e f", "{'k': 'y'}"), (1, "quite another text", "{}"), (2, "", "None")],)
