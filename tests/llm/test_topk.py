@@ -17,9 +17,26 @@ def brute(rows, queries_of, k=5):
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(40, 30)), rng.normal(size=(50, 30))
+    matrix = topk.turn(x)
+    assert np.allclose(matrix @ matrix.T, np.eye(30)) and np.allclose((x @ matrix) @ (y @ matrix).T, x @ y.T)
     for s in (1, 4, 16, 30):
-        upper = topk.statistics(x, s) @ topk.statistics(y, s).T
-        assert (upper >= x @ y.T - 1e-9).all()
+        for m in (np.eye(30), matrix):
+            upper = topk.statistics(x @ m, s) @ topk.statistics(y @ m, s).T
+            assert (upper >= x @ y.T - 1e-9).all()
+
+
+def test_few_products_are_computed_where_a_few_axes_say_most():
+    rng = np.random.default_rng(4)
+    mixed = rng.normal(size=(64, 64))
+    for spread, most in ((0.8, 0.02), (0.97, 0.6), (1.0, 1.0)):
+        x = np.floor(256 * (rng.normal(size=(6000, 64)) * spread ** np.arange(64)) @ np.linalg.qr(mixed)[0])
+        s = topk.Searcher(np.arange(0, 6000, 50), x[::50], matrix=topk.turn(x[:500]))
+        s.meet(np.arange(6000), x)
+        assert s.pairs == 120 * 5999 and s.products <= most * s.pairs, (spread, s.products / s.pairs)
+        score = x[::50] @ x.T
+        score[np.arange(120), np.arange(0, 6000, 50)] = -np.inf
+        want = np.sort(score, axis=1)[:, ::-1][:, :5]
+        assert (s.best.score == want).all()
 
 
 def test_search_equals_brute_force(spark):
@@ -29,8 +46,8 @@ def test_search_equals_brute_force(spark):
     rows += [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 24), (1003, [float("inf")] * 24), (None, [1.0] * 24), (1050, [0.5, 0.25]), (1051, [0.5, 0.5]), (1100, [])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, rank string")
     want = brute([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows], lambda i: i % 50 == 0)
-    for size in (topk.QUERY_BYTES, 2000):
-        got = sorted(tuple(r) for r in topk.search(df, F.col("id") % 50 == 0, query_bytes=size).select("query_id", "rank", "vec_id", "score").collect())
+    for size, part in ((topk.QUERY_BYTES, topk.VECTOR_BYTES), (2000, 9000)):
+        got = sorted(tuple(r) for r in topk.search(df, F.col("id") % 50 == 0, query_bytes=size, vector_bytes=part).select("query_id", "rank", "vec_id", "score").collect())
         assert got == want
     assert topk.search(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
