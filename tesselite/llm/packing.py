@@ -42,35 +42,43 @@ SLACK = 12
 
 
 def differencing(sizes: list[int] | np.ndarray, k: int) -> np.ndarray:
-    """A window from 0 to k - 1 for each size, by the largest differencing method."""
+    """A window from 0 to k - 1 for each size, by the largest differencing method.
+
+    A partial partition keeps its parts that hold anything, the largest first: their sums, and the first and last
+    of each part's pieces, which are chained.  So all partial partitions together never hold more parts than there are pieces."""
     n = len(sizes)
     where = np.zeros(n, np.int64)
     if n == 0 or k == 1:
         return where
-    heap: list[tuple[int, int, np.ndarray]] = []
-    for i, size in enumerate(sizes):
-        parts = np.zeros(k, np.int64)
-        parts[0] = size
-        heap.append((-int(size), i, parts))
+    own = np.asarray(sizes, np.int64)
+    behind = np.full(n, -1, np.int64)
+    # (minus the imbalance, number): a number below n is a piece alone
+    heap = [(-size, i) for i, size in enumerate(own.tolist())]
     heapq.heapify(heap)
-    merged: list[tuple[int, int, np.ndarray]] = []
+    partial: dict[int, np.ndarray] = {}
+
+    def take(i: int) -> np.ndarray:
+        return np.array([[own[i]], [i], [i]], np.int64) if i < n else partial.pop(i)
+
+    number = n
     while len(heap) > 1:
-        _, a, left = heapq.heappop(heap)
-        _, b, right = heapq.heappop(heap)
-        parts = left + right[::-1]
-        order = np.argsort(-parts, kind="stable")
-        parts = parts[order]
-        merged.append((a, b, order))
-        heapq.heappush(heap, (-int(parts[0] - parts[-1]), n + len(merged) - 1, parts))
-    # back from the last merge: which window each part of a partial partition became
-    became: dict[int, np.ndarray] = {heap[0][1]: np.arange(k)}
-    for node in range(n + len(merged) - 1, n - 1, -1):
-        a, b, order = merged[node - n]
-        final = np.empty(k, np.int64)
-        final[order] = became.pop(node)
-        became[a], became[b] = final, final[::-1]
-    for i in range(n):
-        where[i] = became[i][0]
+        left, right = take(heapq.heappop(heap)[1]), take(heapq.heappop(heap)[1])
+        # the right one's largest part goes to the left one's smallest, which may be empty
+        met = max(0, left.shape[1] + right.shape[1] - k)
+        if met:
+            a, b = left[:, left.shape[1] - met :], right[:, right.shape[1] - met :][:, ::-1]
+            behind[a[2]] = b[1]
+            parts = np.concatenate((left[:, : left.shape[1] - met], np.stack((a[0] + b[0], a[1], b[2])), right[:, : right.shape[1] - met]), axis=1)
+        else:
+            parts = np.concatenate((left, right), axis=1)
+        parts = parts[:, np.argsort(-parts[0], kind="stable")]
+        partial[number] = parts
+        heapq.heappush(heap, (int(parts[0, -1] if parts.shape[1] == k else 0) - int(parts[0, 0]), number))
+        number += 1
+    for window, i in enumerate(take(heap[0][1])[1].tolist()):
+        while i >= 0:
+            where[i] = window
+            i = int(behind[i])
     return where
 
 

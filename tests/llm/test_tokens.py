@@ -131,3 +131,31 @@ def test_count_query(spark, own):
 @pytest.mark.parametrize("text", ["DEMİ. yeni", "DEMİ, yeni", "İ.İ,İ .a", "plain DİZİ, 5.5 x"])
 def test_dotted_capital_before_punctuation(own, text):
     assert np.frombuffer(tokens.encoder(tokens.vocabulary_path()).encode([text])[0], "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_every_latin_character_beside_every_sign(own):
+    letters = [chr(c) for c in range(0x20, 0x180)]
+    signs = [chr(c) for c in range(0x21, 0x180) if not chr(c).isalnum() and not chr(c).isspace()] + ["..", ".,", "%.", "1", "'s"]
+    texts = [t for c in letters for s in signs for t in (f"a{c}{s} b", f"{s}{c}x")]
+    got = tokens.encoder(tokens.vocabulary_path()).encode(texts)
+    for a in range(0, len(texts), 10_000):
+        for t, g, w in zip(texts[a : a + 10_000], got[a : a + 10_000], own.encode_batch(texts[a : a + 10_000], add_special_tokens=False), strict=True):
+            assert np.frombuffer(g, "<u4").tolist() == w.ids, repr(t)
+
+
+def test_mixed_texts_equal_the_tokenizer(own):
+    rnd = random.Random(7)
+    chars = [chr(c) for c in range(0x20, 0x180)] + list(" .,!'") * 20 + ["\u0307", "\u0301", "ſ", "ẞ", "\t", "\n"]
+    texts = ["".join(rnd.choice(chars) for _ in range(rnd.randrange(12))) for _ in range(20_000)]
+    for t, g, w in zip(texts, tokens.encoder(tokens.vocabulary_path()).encode(texts), own.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == w.ids, repr(t)
+
+
+def test_many_tiny_pieces_stay_small():
+    import tracemalloc
+
+    tracemalloc.start()
+    where, k = packing.divide([1] * 100_000 + [3] * 20_000)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert k <= -(-160_000 // 4096) + 1 and np.bincount(where, weights=[1] * 100_000 + [3] * 20_000).max() <= 4096
