@@ -14,7 +14,6 @@ Null blocks count as empty.  A document may run over any number of blocks.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselite.llm import tokens
-from tesselite.llm._util import map_texts, shared_dir
+from tesselite.llm._util import map_texts, materialise, scratch_path
 
 #: The end-of-document id, the tokenizer's own.
 SEPARATOR = 49407
@@ -35,7 +34,7 @@ GROUP = 1024
 
 
 def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
-    """Of each block (file, block, data): n ids, where its separators leave off, and the lengths they bound."""
+    """Of each block (file, block, data): n ids, where its separators leave off, and what they bound: places in the block and lengths."""
     rows = blocks.select("file", "block", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,17 +47,21 @@ def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
                 seps.append(len(at))
                 head.append(int(at[0]) if len(at) else len(ids))
                 tail.append(len(ids) - 1 - int(at[-1]) if len(at) else len(ids))
-                inner.append((np.diff(at) - 1).tolist())
+                inner.append((at[:-1] + 1, np.diff(at) - 1))
             long = pa.int64()
-            yield pa.RecordBatch.from_pydict({"file": b.column("file"), "block": b.column("block"), "n": pa.array(n, long), "seps": pa.array(seps, long), "head": pa.array(head, long), "tail": pa.array(tail, long), "inner": pa.array(inner, pa.list_(long))})
+            sizes = pa.array(np.cumsum([0, *(len(a) for a, _ in inner)]), pa.int32())
+            flat = [pa.array(np.concatenate([np.empty(0, np.int64), *(i[c] for i in inner)]), long) for c in (0, 1)]
+            bounded = pa.ListArray.from_arrays(sizes, pa.StructArray.from_arrays(flat, ["at", "tokens"]))
+            yield pa.RecordBatch.from_pydict({"file": b.column("file"), "block": b.column("block"), "n": pa.array(n, long), "seps": pa.array(seps, long), "head": pa.array(head, long), "tail": pa.array(tail, long), "inner": bounded})
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return map_texts(rows, run, f"file {kinds['file']}, block {kinds['block']}, n bigint, seps bigint, head bigint, tail bigint, inner array<bigint>")
+    return map_texts(rows, run, f"file {kinds['file']}, block {kinds['block']}, n bigint, seps bigint, head bigint, tail bigint, inner array<struct<at:bigint,tokens:bigint>>")
 
 
 def count_tokens(blocks: DataFrame, separator: int = SEPARATOR, group: int = GROUP) -> DataFrame:
     """(file, ordinal, start, tokens, closed) of every document of every flat file; start counts ids, separators too."""
-    found = scan_blocks(blocks, separator).withColumn("g", F.floor(F.col("block") / group))
+    # the search runs once
+    found = materialise(scan_blocks(blocks, separator), "separators").withColumn("g", F.floor(F.col("block") / group))
     inside = Window.partitionBy("file", "g").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     local = (
@@ -83,15 +86,17 @@ def count_tokens(blocks: DataFrame, separator: int = SEPARATOR, group: int = GRO
         .select("file", "g", "ids0", "docs0", "before0", "final")
     )
     at = local.join(carried, ["file", "g"]).withColumn("open", F.coalesce(F.col("ids0") + F.col("before"), F.col("before0"))).withColumn("at", F.col("ids0") + F.col("ids"))
-    first = F.struct(F.col("open").alias("start"), (F.col("at") - F.col("open") + F.col("head")).alias("tokens"), F.lit(True).alias("closed"))
-    bounded = F.when(F.col("seps") > 0, F.concat(F.array(first), F.transform("inner", lambda x: F.struct(F.lit(None).cast("long").alias("start"), x.alias("tokens"), F.lit(True).alias("closed"))))).otherwise(F.array().cast("array<struct<start:bigint,tokens:bigint,closed:boolean>>"))
+    document = lambda start, n, closed: F.struct(start.alias("start"), n.alias("tokens"), F.lit(closed).alias("closed"))
+    none = F.array().cast("array<struct<start:bigint,tokens:bigint,closed:boolean>>")
+    # the block's first document may begin in a block before; those behind it lie within
+    first = document(F.col("open"), F.col("at") - F.col("open") + F.col("head"), True)
+    within = F.transform("inner", lambda x: document(F.col("at") + x["at"], x["tokens"], True))
     last_start = F.when(F.col("seps") > 0, F.col("at") + F.col("n") - F.col("tail")).otherwise(F.col("open"))
-    rest = F.struct(last_start.alias("start"), (F.col("at") + F.col("n") - last_start).alias("tokens"), F.lit(False).alias("closed"))
-    closing = F.when((F.col("block") == F.col("final")) & (rest["tokens"] > 0), F.array(rest)).otherwise(F.array().cast("array<struct<start:bigint,tokens:bigint,closed:boolean>>"))
-    rows = at.select("file", (F.col("ids0") + F.col("ids") + F.col("head") + 1).alias("second"), (F.col("docs0") + F.col("docs")).alias("k"), F.posexplode(F.concat(bounded, closing)).alias("i", "d"), "inner")
-    # the i-th document of a block starts after those before it in the block, each with its separator
-    start = F.coalesce(F.col("d.start"), F.col("second") + F.aggregate(F.slice("inner", 1, F.col("i") - 1), zero, lambda a, x: a + x + 1))
-    return rows.select("file", (F.col("k") + F.col("i")).alias("ordinal"), start.alias("start"), F.col("d.tokens").alias("tokens"), F.col("d.closed").alias("closed"))
+    rest = document(last_start, F.col("at") + F.col("n") - last_start, False)
+    closing = F.when((F.col("block") == F.col("final")) & (rest["tokens"] > 0), F.array(rest)).otherwise(none)
+    bounded = F.when(F.col("seps") > 0, F.concat(F.array(first), within)).otherwise(none)
+    rows = at.select("file", (F.col("docs0") + F.col("docs")).alias("k"), F.posexplode(F.concat(bounded, closing)).alias("i", "d"))
+    return rows.select("file", (F.col("k") + F.col("i")).alias("ordinal"), "d.start", "d.tokens", "d.closed")
 
 
 def write_flat(documents: DataFrame, *, vocabulary: str | None = None, separator: int = SEPARATOR, block: int = BLOCK, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -131,7 +136,7 @@ def write_flat(documents: DataFrame, *, vocabulary: str | None = None, separator
             yield from cut(True)
 
     schema = f"file bigint, block bigint, data binary, first bigint, keys array<{kind}>"
-    out = f"{shared_dir(spark)}/flat-tokens-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "flat-tokens")
     map_texts(rows, run, schema).write.option("compression", "zstd").parquet(out)
     kept = spark.read.schema(schema).parquet(out)
     who = kept.select("file", "first", F.posexplode("keys").alias("i", key)).select("file", (F.col("first") + F.col("i")).alias("ordinal"), key)
