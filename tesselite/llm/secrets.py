@@ -2,12 +2,16 @@
 
 Three plain patterns give the base spans.  Beside them a lexer reads source and
 configuration syntax into name-literal pairs (``name = "x"``, ``name: x``,
-``"name": "x"``, ``name: type = x``, ``name := x``, ``name => x``, sums of strings and names), keeps the
+``"name": "x"``, ``name: type = x``, ``name := x``, ``name => x``, sums of strings and names, strings in triple quotes, with
+prefixes or within a constructor of strings, XML elements, keys of property lists and ``--name x``), keeps the
 constants it has seen, and scores every literal by the name it is given to.
 A literal that reaches a sensitive name through other names is reported where it
 is written.  Added spans have kind ``pair`` (assigned to a sensitive name) or
 ``flow`` (reaches one by way of constants).
 
+Names, values, types and the blanks between them may have any length; every part of a text is
+looked at a bounded number of times.
+
 Spans are code points, end exclusive.  Null and empty texts have none.  Texts of
 any length are read whole; repeated rows give equal results; columns other than
 those asked for are ignored, whatever their names.
@@ -15,7 +19,6 @@ those asked for are ignored, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -47,14 +50,22 @@ _KEY_KINDS = {"api", "access", "private", "secret", "encryption", "signing", "au
 _STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "dsn", "salt", "signature", "cookie", "pin")
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|change[-_]?me|example.*|your[-_].*|placeholder|none|null|nil|true|false|undefined|todo|test|<.*>|\$\{?.*|%\(?.*|\{\{.*)$")
 
-_NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,127})(?:["'\]]{0,2})[\x20\t]*$""")
+# a name and what may stand between it and its operator, read backwards
+_NAME_BEFORE = re.compile(r"""[\x20\t]*["'\]]{0,2}([A-Za-z0-9_.\-]*)""")
 _OPERATOR = re.compile(r":=|=>|(?<![=!<>:+\-*/|&^%~])=(?![=>~])|(?<![:A-Za-z]{2}:):(?![:/=])")
-_QUOTED = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`""")
+_QUOTED = re.compile(r"""\"{3}((?:[^"\\]++|\\[\s\S]|"(?!""))*+)\"{3}|'{3}((?:[^'\\]++|\\[\s\S]|'(?!''))*+)'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`""")
+_PREFIX = re.compile(r"""(?:[bBrRuUfFlL]{1,2}|u8|[@$])(?=["'])""")
+_CALL = re.compile(r"""(?:new[\x20\t]+)?(?:[A-Za-z_][\w.]*\.)?(?:[Ss]tring|str|bytes|[Ss]ecret\w*|[Pp]assword|valueOf|toCharArray)\([\x20\t]*(?=["'`])""")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>([^<>]*)</\1\s*>")
+_LISTED = re.compile(r"<key>([^<>]*)</key>\s*<string>([^<>]*)</string>")
+_FLAG = re.compile(r"""(?<!\S)--([A-Za-z][\w-]*)[\x20\t]+(?:"([^"\n]*)"|'([^'\n]*)'|([^\s"'-]\S*))""")
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]#<>|]+""")
 _IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
-# a type between colon and sign of equality, as in Python, TypeScript, Kotlin, Rust and Swift; then a string or a name, or anything after a blank
-_TYPE = r"""(?:[&*]+(?:'\w+[\x20\t]+)?)?(?:(?:mut|dyn|impl|const|readonly|any)[\x20\t]+)?(?:[A-Za-z_][\w.]*(?:::[A-Za-z_]\w*)*(?:[\[<][^\n=;]{0,120}[\]>])?+|\[[^\n=]{0,120}\]|"[A-Za-z_][\w.\[\], |]{0,120}")[?!]?(?:\[\])*"""
-_TYPED = re.compile(rf"""[\x20\t]*{_TYPE}(?:[\x20\t]*[|&][\x20\t]*{_TYPE}){{0,8}}+(?:[\x20\t]*=(?=[\x20\t]*["'`])|[\x20\t]+=(?=[\x20\t]))""")
+# a type between colon and sign of equality, as in Python, TypeScript, Kotlin, Rust and Swift; then a string or a name, or anything
+# after a blank.  No part of it holds a single colon, so that it never runs past the next operator
+_WITHIN = r"""(?:[^\n=;:"'`{}()]|::)*"""
+_TYPE = rf"""(?:[&*]+(?:'\w+[\x20\t]+)?)?(?:(?:mut|dyn|impl|const|readonly|any)[\x20\t]+)?(?:[A-Za-z_][\w.]*+(?:::[A-Za-z_]\w*+)*+(?:[\[<]{_WITHIN}[\]>])?+|\[{_WITHIN}\]|"[A-Za-z_][\w.\[\], |]*+")[?!]?(?:\[\])*+"""
+_TYPED = re.compile(rf"""[\x20\t]*{_TYPE}(?:[\x20\t]*[|&][\x20\t]*{_TYPE})*+(?:[\x20\t]*=(?=[\x20\t]*["'`])|[\x20\t]+=(?=[\x20\t]))""")
 _GAP = re.compile(r"[\x20\t]*")
 _PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -62,8 +73,6 @@ _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Names of pass phrases, and of what is only said about them.
 _PHRASE = ("password", "passwd", "passphrase", "pwd")
 _ABOUT = {"label", "hint", "prompt", "message", "msg", "error", "text", "placeholder", "help", "title", "description", "policy", "rule", "rules"}
-#: Names longer than this, with what stands between a name and its operator, aren't names.
-NAME_REACH = 160
 PAIR_SCORE = 0.5
 
 
@@ -82,7 +91,7 @@ def sensitivity(name: str) -> float:
     """How sensitive a target's last component is, from 0 to 1."""
     parts = [p.lower() for p in _PARTS.findall(name.rpartition(".")[2] or name)]
     best = max((SENSITIVE.get(p, 0.0) for p in parts), default=0.0)
-    joined = "".join(parts)
+    joined = "".join(parts).replace("secretar", "")
     for word in ("password", "passwd", "passphrase", "apikey", "secret", "credential"):
         if word in joined:
             best = max(best, SENSITIVE[word])
@@ -120,21 +129,26 @@ def pairs(text: str) -> list[Pair]:
     found: list[Pair] = []
     constants: dict[str, Pair] = {}
     done = 0
+    back = text[::-1]
     for op in _OPERATOR.finditer(text):
         if op.start() < done:
             continue
-        m = _NAME_BEFORE.search(text, max(done, op.start() - NAME_REACH), op.start())
-        if not m:
+        name = _NAME_BEFORE.match(back, len(text) - op.start(), len(text) - done)[1][::-1].lstrip("0123456789.-")
+        if not name:
             continue
         start = op.end()
         if op[0] == ":" and (typed := _TYPED.match(text, start)):
             # the name is given to what stands after the type; the type itself is read as a bare word as well
             if b := _BARE.match(text, _GAP.match(text, start).end()):
                 kind = b[0].rstrip(".:!?*&%$")
-                found.append(Pair(m[1], kind, ((b.start(), b.start() + len(kind)),), False, False))
+                found.append(Pair(name, kind, ((b.start(), b.start() + len(kind)),), False, False))
             start = done = typed.end()
         at, value, spans, quoted, through, first = _GAP.match(text, start).end(), [], [], False, False, True
+        if c := _CALL.match(text, at):
+            at = c.end()
         while True:
+            if p := _PREFIX.match(text, at):
+                at = p.end()
             if q := _QUOTED.match(text, at):
                 k = q.lastindex or 1
                 value.append(q[k])
@@ -157,7 +171,7 @@ def pairs(text: str) -> list[Pair]:
             at = plus.end()
         if not value or not "".join(value):
             continue
-        pair = Pair(m[1], "".join(value), tuple(s for s in dict.fromkeys(spans) if s[0] < s[1]), quoted, through)
+        pair = Pair(name, "".join(value), tuple(s for s in dict.fromkeys(spans) if s[0] < s[1]), quoted, through)
         found.append(pair)
         constants[pair.name] = pair
         if quoted:
@@ -165,6 +179,20 @@ def pairs(text: str) -> list[Pair]:
     return found
 
 
+def marked_pairs(text: str) -> list[Pair]:
+    """Name-literal pairs of XML elements, property lists and command-line flags."""
+    found = []
+    if "</" in text:
+        for m in (*_ELEMENT.finditer(text), *_LISTED.finditer(text)):
+            value = m[2].strip()
+            at = m.start(2) + len(m[2]) - len(m[2].lstrip())
+            found.append(Pair(m[1].strip(), value, ((at, at + len(value)),), True, False))
+    if "--" in text:
+        for m in _FLAG.finditer(text):
+            found.append(Pair(m[1], m[m.lastindex], (m.span(m.lastindex),), m.lastindex < 4, False))
+    return [p for p in found if p.value]
+
+
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     """(start, rank of kind, end) of the plain patterns' matches."""
     out = []
@@ -182,8 +210,8 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     low = text.lower()
     base = sorted(base_spans(text, low))
     more = set()
-    if ("=" in text or ":" in text) and any(s in low for s in _STEMS):
-        for p in pairs(text):
+    if any(s in low for s in _STEMS):
+        for p in (*(pairs(text) if "=" in text or ":" in text else ()), *marked_pairs(text)):
             s = sensitivity(p.name)
             if s >= PAIR_SCORE and s * strength(p.value, p.quoted, names_phrase(p.name)) >= PAIR_SCORE:
                 more.update((a, 4 if p.through else 3, b) for a, b in p.spans)
@@ -194,10 +222,6 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     return base, sorted([*base, *more])
 
 
-def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
-
-
 def redact(text: str | None) -> str | None:
     """The text with the secret of every span replaced by one mark (an assignment keeps its name); spans that overlap become one."""
     if not text:
@@ -233,8 +257,3 @@ def find_secrets(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> D
             )
 
     return map_texts(rows, run, kept_and(rows, keep, f"base_spans {SPAN}, spans {SPAN}, redacted string"))
-
-
-def digest(spans: list[dict]) -> str:
-    """Lowercase hex of the joined spans' SHA-256."""
-    return hashlib.sha256(",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans).encode()).hexdigest()

@@ -91,3 +91,90 @@ def test_typed_assignments_and_phrases():
     for text in ('greeting = "four plain words here"', 'password_hint = "four plain words here"', "passphrase = four plain words", 'token = "four plain words here"'):
         assert secrets.redact(text) == text
     secrets.scan("password:" + "<>" * 5000 + "|a[" * 5000)
+
+
+SECRET = "Zx81kqPLm3v9"
+HELD = [
+    'auth        = "%s"',
+    'password: str = "%s"',
+    'let secret: &str = "%s"',
+    'const apiKey: string = "%s"',
+    'const dbPassword = new String("%s");',
+    'String token = String.valueOf("%s");',
+    'api_secret = b"%s"',
+    "client_secret = r'%s'",
+    "password = '''%s'''",
+    'password = """%s"""',
+    "<password>%s</password>",
+    '<db:password type="plain"> %s </db:password>',
+    "<key>authToken</key> <string>%s</string>",
+    "mysql --host db --password %s --port 1",
+    'deploy --api-key "%s"',
+    "curl --token=%s x",
+    "DB_PASSWORD=%s",
+    "export AUTH_TOKEN=%s",
+    '"client_secret": "%s",',
+    "secret: %s",
+    'conn.password => "%s"',
+    'pwd := "%s"',
+    "signing_key = `%s`",
+    'os.environ["API_TOKEN"] = "%s"',
+    "props.put = 1; access_key = '%s'",
+    '@Value(password = "%s")',
+    'auth_token : Optional[Dict[str, str]] = "%s"',
+    'val bearerToken: Map<String, List<String>> = "%s"',
+    'session_cookie = f"%s"',
+    'encryption_key: "%s"',
+]
+CLEAN = [
+    "timeout: 30",
+    'name = "Zx81kqPLm3v9"',
+    "<title>Zx81kqPLm3v9</title>",
+    "<key>color</key> <string>Zx81kqPLm3v9</string>",
+    "run --output Zx81kqPLm3v9",
+    'keyboard = "Zx81kqPLm3v9"',
+    'password = getenv("DB_PASSWORD")',
+    'password = "changeme"',
+    "password: ${DB_PASSWORD}",
+    "auth: true",
+    'password_hint = "the usual word"',
+    "monkey: Zx81kqPLm3v9",
+    'if key == "Zx81kqPLm3v9":',
+    'author = "Zx81kqPLm3v9"',
+    'tokenizer = "word-bpe-large"',
+    'passenger: "Zx81kqPLm3v9"',
+    'keynote = "Zx81kqPLm3v9"',
+    'compass = "Zx81kqPLm3v9"',
+    "https://example.com/a?page=Zx81kqPLm3v9",
+    'secretary = "Zx81kqPLm3v9"',
+]
+
+
+def test_precision_and_recall_on_labelled_lines():
+    found = [line for line in HELD if any(a <= (at := (line % SECRET).index(SECRET)) and at + len(SECRET) <= b for a, _, b in secrets.scan(line % SECRET)[1])]
+    # the base patterns are as they are; what the lexer adds is right
+    wrong = [line for line in CLEAN if any(k > 2 for _, k, _ in secrets.scan(line)[1])]
+    assert set(HELD) - set(found) == set() and wrong == []
+    for line in HELD:
+        assert SECRET not in secrets.redact(line % SECRET), line
+
+
+def test_lengths_do_not_matter():
+    for blanks, name in ((200, "auth"), (5000, "my_password"), (1, "x" * 3000 + "_password"), (3, "a." * 4000 + "token")):
+        text = f'first = 1\n{name}{" " * blanks}= "{SECRET}"'
+        at = text.index(SECRET)
+        assert any(a <= at and at + len(SECRET) <= b for a, _, b in secrets.scan(text)[1]), (blanks, name[:9])
+    long = SECRET * 20_000
+    assert secrets.redact(f'auth: List[{"int, " * 400}str] = "{long}"').count(SECRET) == 0
+    # names that end alike but begin differently are different constants
+    text = f'{"a" * 300}_base = "{SECRET}"\n{"b" * 300}_base = "nothing here"\npassword = {"b" * 300}_base\n'
+    assert not any(k == 4 and text[a:b] == SECRET for a, k, b in secrets.scan(text)[1])
+
+
+def test_odd_texts_take_linear_time():
+    import time
+
+    for text in ("password:" + "a:[" * 200_000, "key" + " " * 400_000 + "=", "<" * 200_000 + "password", "token" + '="""' * 50_000, "pwd " + "--" * 200_000, "secret" + "<a>" * 100_000, "key" + "x" * 400_000, "auth:" + "a|" * 100_000):
+        began = time.perf_counter()
+        secrets.scan(text)
+        assert time.perf_counter() - began < 20, text[:20]
