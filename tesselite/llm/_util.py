@@ -81,13 +81,14 @@ def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
-def spread_join(rows: DataFrame, few: DataFrame, key: str, by: Column, left: bool = False, salts: int = SALTS) -> DataFrame:
+def spread_join(rows: DataFrame, few: DataFrame, key: str | list[str], by: Column, left: bool = False, salts: int = SALTS) -> DataFrame:
     """``rows`` join ``few`` (inner, or left), which holds each value of ``key`` once; of ``rows`` one value may hold any share.
     Each value's row goes to as many salts as the value has among ``rows`` (at most ``salts``), counted where the
     rows are, so that no task meets all rows of a hot value.  by: what deals a value's rows."""
+    keys = [key] if isinstance(key, str) else key
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
-    met = salted.select(key, "_salt").distinct().join(few, key)
-    return salted.join(met, [key, "_salt"], "left" if left else "inner").drop("_salt")
+    met = salted.select(*keys, "_salt").distinct().join(few, keys)
+    return salted.join(met, [*keys, "_salt"], "left" if left else "inner").drop("_salt")
 
 
 def whole_row(df: DataFrame) -> Column:

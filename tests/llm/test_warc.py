@@ -20,6 +20,22 @@ def test_headers_that_may_change(spark):
     rows = spark.createDataFrame([({"Content-Length": "9", "Date": "1", "X": "k"}, {"content-length": "0", "DATE": "2", "Expires": "3"}), (None, None)], "a map<string,string>, b map<string,string>")
     got = [r[0] for r in rows.select(warc.merged_headers(F.col("a"), F.col("b"))).collect()]
     assert got == [{"content-length": "9", "x": "k", "date": "2", "expires": "3"}, {}]
+    rows = spark.createDataFrame([({"Set-Cookie": "a", "set-cookie": "b", "ETag": None}, {"SET-COOKIE": "c", "Set-cookie": "d", "date": "1", "Date": None}), ({}, {})], "a map<string,string>, b map<string,string>")
+    got = [r[0] for r in rows.select(warc.merged_headers(F.col("a"), F.col("b"))).collect()]
+    assert got == [{"etag": None, "set-cookie": "c, d", "date": "1"}, {}]
+
+
+def test_edges_are_searched_in_two_steps(spark):
+    for n in (0, 1, 2, 3, 8, 15, 100):
+        edges = [3 * i for i in range(n)]
+        df = spark.range(-2, 3 * n + 3)
+        assert all(r.got == sum(e < r.id for e in edges) for r in df.select("id", warc._below(edges, F.col("id")).alias("got")).collect())
+
+
+def test_one_moment_may_hold_all_captures_of_a_url(spark):
+    rows = [(i, "http://a.example/", 5, "response" if i % 3 else "revisit", '"a"', None, None, {}) for i in range(3000)] + [(9000, "a.example", 1, "response", 'W/"a"', None, None, {"X": "y"}), (9001, "a.example", 9, "revisit", '"a"', None, None, None)]
+    got = {r.record_id: (r.base_id, r.outcome) for r in warc.resolve(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (9000, "match") for i in range(0, 3000, 3)} | {9001: (2999, "match")}
 
 
 def test_as_of_join_equals_a_walk(spark):
