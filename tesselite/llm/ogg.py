@@ -8,9 +8,15 @@ derives a time for every packet from granule positions.
 ``store_text`` keeps a text as 8-bit PCM in two channels, one logical stream each
 (even and odd bytes), which ``load_text`` reads back.
 
+Times are derived where a codec says how: for this PCM every packet's, for Opus every
+packet's from the durations that its packets state, for Vorbis, Speex and FLAC those of the packets
+at which a page's granule position stands.  Other codecs' packets keep their page's granule and have no time (-1).
+
 Damaged pages are counted and skipped, and packets that miss a page are
-dropped and counted, never repaired.  Empty media have no streams.  Null
-media give the same as empty ones.
+dropped and counted, never repaired.  A payload of which a head or a packet is missing
+is null, with what was counted in the feature.  Empty media have no streams.  Null
+media give the same as empty ones.  Texts of any length are stored in one media; a task holds a few
+copies of the longest.  Repeated rows give equal results; columns beside those asked for are ignored.
 """
 
 from __future__ import annotations
@@ -73,6 +79,8 @@ class Stream:
     lost_packets: int = 0
     begun: bool = False
     ended: bool = False
+    #: Numbers of packets before which one or more are missing.
+    gaps: set[int] = field(default_factory=set)
 
 
 def page_bytes(p: Page) -> bytes:
@@ -158,12 +166,14 @@ def demux(media: bytes | None) -> tuple[dict[int, Stream], int]:
         if gap:
             s.lost_pages += max(0, gap)
             s.lost_packets += parts is not None
+            s.gaps.add(len(s.packets))
             parts = None
         expected[p.serial] = p.sequence + 1
         s.pages += 1
         skip = bool(p.flags & CONTINUED) and parts is None
         if not p.flags & CONTINUED and parts is not None:
             s.lost_packets += 1
+            s.gaps.add(len(s.packets))
             parts = None
         at, here = 0, []
         a = 0
@@ -191,18 +201,56 @@ def demux(media: bytes | None) -> tuple[dict[int, Stream], int]:
     return streams, bad
 
 
+def pcm_head(data: bytes) -> tuple[int, int, int] | None:
+    """Rate, channels and channel of a head packet of PCM."""
+    if len(data) < _IDENT.size or data[:8] != b"PCM     ":
+        return None
+    _, _, _, rate, _, channels, channel = _IDENT.unpack_from(data)
+    return (rate, channels, channel) if rate else None
+
+
+def codec(head: bytes) -> tuple[str, int, int]:
+    """Name, granules a second (0: unknown) and granules before the start, from a stream's first packet."""
+    if pcm := pcm_head(head):
+        return "pcm", pcm[0], 0
+    if head[:8] == b"OpusHead" and len(head) >= 12:
+        return "opus", 48_000, int.from_bytes(head[10:12], "little")
+    if head[:7] == b"\x01vorbis" and len(head) >= 16:
+        return "vorbis", int.from_bytes(head[12:16], "little"), 0
+    if head[:8] == b"Speex   " and len(head) >= 40:
+        return "speex", int.from_bytes(head[36:40], "little"), 0
+    if head[:5] == b"\x7fFLAC" and len(head) >= 30:
+        return "flac", int.from_bytes(head[27:30], "big") >> 4, 0
+    return "", 0, 0
+
+
+def opus_samples(packet: bytes) -> int:
+    """Samples of an Opus packet at 48 kHz, from its first bytes; -1 where they say nothing valid."""
+    if not packet:
+        return -1
+    config, code = packet[0] >> 3, packet[0] & 3
+    frame = (480, 960, 1920, 2880)[config % 4] if config < 12 else (480, 960)[config % 2] if config < 16 else (120, 240, 480, 960)[config % 4]
+    if code == 3 and len(packet) < 2:
+        return -1
+    return frame * (1, 2, 2, packet[1] & 63 if code == 3 else 0)[code]
+
+
 def _times(s: Stream) -> None:
-    """Granule positions of packets that end within a page, back from the page's own; one sample is one byte here."""
-    rate = RATE
-    if s.packets and s.packets[0].data[:8] == b"PCM     ":
-        rate = _IDENT.unpack_from(s.packets[0].data)[3] or RATE
+    """Granule positions of packets that end within a page, back from the page's own, where the codec tells how long a
+    packet is; and times where its rate is known."""
+    if not s.packets or not s.begun:
+        return
+    name, rate, skip = codec(s.packets[0].data)
+    samples = {"pcm": len, "opus": opus_samples}.get(name)
+    if samples:
         s.packets[0].granule = 0
-    for after, p in zip(reversed(s.packets), reversed(s.packets[:-1]), strict=False):
-        if p.granule < 0 <= after.granule:
-            p.granule = after.granule - len(after.data)
+        # only neighbours of which nothing was lost between
+        for after, p in zip(reversed(s.packets), reversed(s.packets[1:-1]), strict=False):
+            if p.granule < 0 <= after.granule and after.number not in s.gaps and (n := samples(after.data)) >= 0:
+                p.granule = after.granule - n
     for p in s.packets:
-        if p.granule >= 0:
-            p.seconds = p.granule / rate
+        if p.granule >= 0 and rate:
+            p.seconds = max(0, p.granule - skip) / rate
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -223,20 +271,28 @@ def store_text(payload: bytes) -> bytes:
     return mux(streams)
 
 
-def load_text(media: bytes) -> tuple[bytes, str]:
-    """The stored payload, and what was read on the way: streams, pages, damaged pages, packets, milliseconds, and
-    both channels' mean level."""
+def load_text(media: bytes | None) -> tuple[bytes | None, str]:
+    """The stored payload, null where a part of it is missing, and what was read on the way: streams, pages, damaged pages, packets,
+    milliseconds, and the channels' mean levels."""
     streams, bad = demux(media)
     channels: dict[int, bytes] = {}
+    wanted, whole = 0, True
     for s in streams.values():
-        channels[_IDENT.unpack_from(s.packets[0].data)[6]] = b"".join(p.data for p in s.packets[1:])
-    out = bytearray(sum(map(len, channels.values())))
-    for c, data in channels.items():
-        out[c::2] = data
+        head = pcm_head(s.packets[0].data) if s.packets and s.begun else None
+        whole &= head is not None and s.ended and not s.lost_pages and not s.lost_packets and not s.gaps
+        if head:
+            wanted = max(wanted, head[1])
+            channels[head[2]] = b"".join(p.data for p in s.packets[1:])
+    whole &= wanted > 0 and sorted(channels) == list(range(wanted)) and len({len(d) for d in channels.values()}) == 1
+    out = None
+    if whole:
+        out = bytearray(sum(map(len, channels.values())))
+        for c, data in channels.items():
+            out[c::wanted] = data
     n = sum(s.pages for s in streams.values())
     ms = max((round(p.seconds * 1000) for s in streams.values() for p in s.packets), default=0)
     levels = "/".join(f"{sum(channels[c]) / max(1, len(channels[c])):.3f}" for c in sorted(channels))
-    return bytes(out), f"streams={len(streams)};pages={n};damaged={bad};packets={sum(len(s.packets) for s in streams.values())};ms={ms};mean={levels}"
+    return bytes(out) if whole else None, f"streams={len(streams)};pages={n};damaged={bad};packets={sum(len(s.packets) for s in streams.values())};ms={max(0, ms)};mean={levels}"
 
 
 def read_packets(media: DataFrame, key: str, column: str = "media") -> DataFrame:
@@ -278,7 +334,8 @@ def read_texts(media: DataFrame, key: str = "doc_id") -> DataFrame:
             cols: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
             for m in b.column("media").to_pylist():
                 payload, feature = load_text(m)
-                for k, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature), strict=True):
+                digest = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+                for k, v in zip(cols, (*digest, len(m or b""), hashlib.sha256(m or b"").hexdigest(), feature), strict=True):
                     cols[k].append(v)
             types = {k: pa.int64() if k in ("payload_bytes", "tail_crc32", "media_bytes") else pa.string() for k in cols}
             yield pa.RecordBatch.from_pydict({"_key": b.column("_key"), "n_bytes": b.column("n_bytes")} | {k: pa.array(v, types[k]) for k, v in cols.items()})
