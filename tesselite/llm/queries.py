@@ -126,6 +126,35 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP7_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h
+  FROM documents
+), hashed AS (
+  SELECT doc_id, source, size, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2 FROM sized
+), sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM hashed GROUP BY source),
+weighed AS (
+  SELECT source, source_size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w, 3 * source_size AS most FROM sizes
+), leveled AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(most) OVER before, 0) AS DOUBLE) / CAST(sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS DOUBLE) AS level
+  FROM weighed WINDOW before AS (ORDER BY CAST(most AS DOUBLE) / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), first AS (
+  SELECT level AS share FROM leveled WHERE level * w <= most ORDER BY CAST(most AS DOUBLE) / w, source IS NULL, source LIMIT 1
+), aimed AS (
+  SELECT source, source_size, least(coalesce((SELECT share FROM first) * w, CAST(most AS DOUBLE)), CAST(most AS DOUBLE)) AS target FROM weighed
+), rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM aimed),
+met AS (SELECT h.*, r.source_size, r.target, r.rate, floor(r.rate) AS whole FROM hashed h JOIN rated r ON h.source IS NOT DISTINCT FROM r.source),
+tried AS (
+  SELECT source, k, sum(whole * size) + sum(CASE WHEN ((h1 + k * h2) % 4294967296) / CAST(4294967296 AS DOUBLE) < rate - whole THEN size ELSE 0 END) - any_value(target) AS off
+  FROM met, range(16) AS t(k) GROUP BY source, k
+), best AS (SELECT source, k FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(off), k) AS n FROM tried) WHERE n = 1)
+SELECT m.doc_id, m.size, m.source_size, m.target,
+  CAST(m.size * (m.whole + CASE WHEN ((m.h1 + b.k * m.h2) % 4294967296) / CAST(4294967296 AS DOUBLE) < m.rate - m.whole THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM met m JOIN best b ON m.source IS NOT DISTINCT FROM b.source
+"""
+
+
 def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart.near_copies(table(spark, sf_dir, "documents"))
 
@@ -144,4 +173,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_not_modified, op3_ogg, op4_quality, op5_segment_topk, op6_separator_scan, op7_mix, op8_near_copies, op9_pack, op10_toxicity)
 }
-ORACLE_SQL: dict[str, str] = {"op2_not_modified": OP2_SQL, "op5_segment_topk": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_not_modified": OP2_SQL, "op5_segment_topk": OP5_SQL, "op7_mix": OP7_SQL}

@@ -1,6 +1,8 @@
 import re
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tesselite.llm import mixing, queries
 
@@ -33,8 +35,8 @@ def _docs(spark):
 def test_targets_equal_sharing_again_and_again(spark):
     for case in ([("a", 100), ("b", 5), ("c", 1000), ("d", 1), ("e", 50), (None, 3)], [("a", 0), ("b", 0)], [("a", 7)], [("a", 1), ("b", 1), ("c", 1000)]):
         df = spark.createDataFrame(case, "source string, source_size long")
-        got = {r.source: r.target for r in mixing.targets(df).collect()}
-        assert got == pytest.approx(fill(case))
+        for few in (True, False):
+            assert {r.source: r.target for r in mixing.targets(df, few=few).collect()} == pytest.approx(fill(case))
 
 
 @pytest.mark.parametrize("few", [True, False])
@@ -69,6 +71,29 @@ def test_words(spark):
     assert mixing.mix(df).first()["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", text))
 
 
-def test_query(spark):
-    got = queries.op7_mix(spark, "/root/testdata/sf0.001")
-    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"] and got.count() == 200
+def _duck(path):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    return con.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({queries.OP7_SQL})").fetchall()
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_sql(spark, sf):
+    got = queries.op7_mix(spark, f"/root/testdata/{sf}").select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(tuple, got)) == sorted(_duck(f"/root/testdata/{sf}/documents.parquet"))
+
+
+def test_odd_rows_equal_sql(spark, tmp_path):
+    rows, _ = _docs(spark)
+    rows = [r[:3] for r in rows] + [(None, None, None), (None, "a b", "s"), (1, "x y z", "s"), (1, "x y z", "s"), (5, "é\u00a0ü\tx\x0by", "ß")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op7_mix(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(_duck(f"{tmp_path}/documents.parquet/*.parquet"), key=str)
+
+
+def test_draws_have_the_fractions_frequency(spark):
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    for seed in (0, 7):
+        share = df.select(*mixing.fate(F.col("doc_id"), F.col("text"))).select(mixing._draw(seed).alias("d")).agg(F.avg((F.col("d") < 0.3).cast("int")), F.min("d"), F.max("d")).first()
+        assert abs(share[0] - 0.3) < 0.01 and share[1] >= 0 and share[2] < 1
