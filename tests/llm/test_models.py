@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tesselite.llm import hashing, subword, toxicity
+from tesselite.llm import hashing, queries, subword, toxicity
 
 
 def test_features_equal_one_by_one():
@@ -178,3 +179,106 @@ def test_marks_are_learned_and_met(spark):
     model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     assert {"मूर्खता", "débile"} <= {*model.words, *model.stems}
     assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in toxicity.score(df, model).collect())
+
+
+def test_quality_query_equals_training_by_hand(spark):
+    """The query against the rows that its contract lets it learn from, picked and trained on without Spark."""
+    import zlib
+
+    for sf, least in (("sf0.001", 0.9), ("sf0.01", 0.95)):
+        sf = f"/root/testdata/{sf}"
+        texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+        labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None}
+        held = {i for i in texts if zlib.crc32(str(i).encode()) % 3 == 1}
+        order = {r.doc_id: r.h for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.xxhash64(F.lit(subword.SEED), "doc_id").alias("h")).collect()}
+        picked = {y: sorted((i for i, v in labels.items() if v == y and i not in held), key=lambda i: (order[i], i))[: subword.TRAIN_ROWS // 2] for y in (0, 1)}
+        placed = sorted((k, y, i) for y, ids in picked.items() for k, i in enumerate(ids, 1))
+        model = subword.train([texts[i] for _, _, i in placed], [y for _, y, _ in placed])
+        got = queries.op4_quality(spark, sf).collect()
+        assert sorted(r.doc_id for r in got) == sorted(texts)
+        for r in got:
+            assert r.held_out == (r.doc_id in held) and abs(r.score - model.score(texts[r.doc_id])) < 1e-6 and r.predicted == int(r.score >= 0.5)
+        own = [r for r in got if r.held_out and r.doc_id in labels]
+        assert sum(r.predicted == labels[r.doc_id] for r in own) >= least * len(own)
+
+
+def test_toxicity_query_equals_a_walk_by_hand(spark):
+    """Scores of the query from its model's terms by plain edit distances, and what held-out labels say."""
+    import math
+
+    for sf, recall in (("sf0.001", 1.0), ("sf0.01", 0.6)):
+        sf = f"/root/testdata/{sf}"
+        docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+        model = toxicity.fit(docs, labels)
+        allowed = {t: 0 if t in model.exact else toxicity.edits(len(t)) for t in model.words}
+        weight = {**model.words, **model.stems}
+
+        def nearest(word, allowed=allowed, model=model):
+            best = None
+            for form in toxicity.forms(word):
+                if form in model.clean:
+                    return None
+                met = [(d, t) for t, most in allowed.items() if abs(len(t) - len(form)) <= most and (d := levenshtein(form, t)) <= most] + [(0, t) for t in model.stems if form.startswith(t)]
+                if met and (best is None or min(met)[0] < best[0]):
+                    best = min(met)
+            return best
+
+        got = {r.doc_id: r for r in queries.op10_toxicity(spark, sf).collect()}
+        texts = {r.doc_id: r.text for r in docs.collect()}
+        toxic = {r.doc_id: r.toxic for r in labels.collect()}
+        assert set(got) == set(texts) and not all(r.predicted for r in got.values())
+        cache = {}
+        for i in sorted(texts)[:150]:
+            low, mass = (texts[i] or "").lower(), 0.0
+            for m in toxicity._WORD.finditer(low):
+                if m[0] not in cache:
+                    cache[m[0]] = nearest(m[0])
+                if cache[m[0]]:
+                    e, t = cache[m[0]]
+                    mass += weight[t] * (1 - 0.25 * e) * toxicity.context(low, m.start(), m.end())
+            assert abs(got[i].score - 1 / (1 + math.exp(-(model.bias + model.slope * math.log1p(mass))))) < 1e-9, i
+        own = [r for r in got.values() if r.held_out and toxic.get(r.doc_id) is not None]
+        hits = [r for r in own if toxic[r.doc_id] == 1]
+        assert sum(r.predicted for r in hits) >= recall * len(hits)
+        assert sum(r.predicted for r in own if toxic[r.doc_id] == 0) <= 0.02 * len(own)
+
+
+def test_held_out_toxicity_at_the_larger_size(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op10_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("toxic IS NOT NULL").collect()
+    hits, said = [r for r in rows if r.toxic], [r for r in rows if r.predicted]
+    assert sum(r.predicted for r in hits) >= 0.9 * len(hits) and sum(r.toxic for r in said) >= 0.85 * len(said)
+
+
+def test_a_sample_without_telling_words_gives_the_share(spark):
+    docs = spark.createDataFrame([(i, f"plain words number{i % 7} only") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(60)], "doc_id long, toxic int")
+    scores = {round(r.score, 9) for r in toxicity.score(docs, toxicity.fit(docs, labels, mod=10**9, rest=1)).collect()}
+    assert scores == {round(1 / 6, 9)}
+    none = toxicity.fit(docs, labels.limit(0))
+    assert all(r.score < 0.5 for r in toxicity.score(docs, none).collect())
+    one = toxicity.score(spark.createDataFrame([(1, "you idiot, you worthless moron")], "doc_id long, text string"), none).first()
+    assert one.score > 0.5
+    all_toxic = toxicity.fit(docs, labels.withColumn("toxic", F.lit(1)), mod=10**9, rest=1)
+    assert all(r.score > 0.5 for r in toxicity.score(docs, all_toxic).collect())
+
+
+def test_conflicting_labels_and_repeated_documents_do_not_depend_on_the_layout(spark):
+    docs = spark.createDataFrame([(i, f"text {i} {t}") for i in range(100) for t in ("b", "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(i, 1 - i % 2) for i in range(0, 100, 5)] + [(3, 1)], "doc_id long, quality int")
+    seen = set()
+    for n in (1, 3, 7):
+        got = subword.training_sample(docs.repartition(n), labels.repartition(n), "quality", 10**9, 1).collect()
+        seen.add(tuple(sorted((r.doc_id, r.text, r.y, r.place) for r in got)))
+    (rows,) = seen
+    assert [r[0] for r in rows] == [i for i in range(100) if i % 5] and all(t == f"text {i} a" for i, t, _, _ in rows)
+
+
+def test_long_texts_are_scored_in_parts():
+    text = ("some words in a row " * 40_000) + "x" * 700_000 + " end"
+    whole = np.concatenate(list(subword.feature_parts(text, 1 << 18)))
+    assert sorted(np.bincount(whole, minlength=subword.BUCKETS).tolist()) == sorted(np.bincount(np.concatenate(list(subword.feature_parts(text, 100_003))), minlength=subword.BUCKETS).tolist())
+    ids, n = subword.counted(text)
+    assert n.sum() == len(whole) and n.max() > 65_535 and n.dtype == np.uint32
+    small = subword.counted("a b a")[1]
+    assert small.dtype == np.uint8

@@ -1,6 +1,12 @@
+import zlib
+
 import corpus_pipeline as p
+import duckdb
+import numpy as np
+import pyarrow as pa
+from tokenizers import Tokenizer
 
-from tesselite.llm import secrets, subword
+from tesselite.llm import queries, secrets, subword, tokens
 from tesselite.llm._util import table
 
 from test_dart import brute
@@ -32,11 +38,36 @@ def test_stages_do_their_work_on_what_the_one_before_kept(spark):
     assert mixed.columns == columns and {r.doc_id for r in mixed.collect()} <= left
 
 
-def test_whole_run(spark):
-    got = p.run(spark, SF)
+def test_whole_run_equals_the_stages_by_hand(spark):
+    """run() against each stage's meaning recomputed from the one before without the operators' joins."""
     assert [n for n, _ in p.STAGES] == ["quality", "near_copies", "secrets", "mix", "pack"]
-    rows = got.collect()
-    assert rows and sum(r.length for r in rows if r.start == 0) > 0
+    docs = table(spark, SF, "documents")
+    rows = {r.doc_id: r for r in docs.collect()}
+    model = subword.fit(docs, table(spark, SF, "labels"))
+    good = {i for i, r in rows.items() if model.score(r.text) >= 0.5}
+    left = sorted(set(brute([(i, rows[i].text) for i in sorted(good)]).values()))
+    texts = {i: secrets.redact(rows[i].text) for i in left}
+    # the mix by SQL, over what was left
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array(left, pa.int64()), "text": pa.array([texts[i] for i in left], pa.string()), "source": pa.array([rows[i].source for i in left], pa.string())}))
+    copies = {i: taken // size for i, size, taken in con.sql(f"SELECT doc_id, size, taken FROM ({queries.OP7_SQL}) WHERE size > 0").fetchall() if taken}
+    own = Tokenizer.from_file(tokens.vocabulary_path())
+    got, filled = {}, {}
+    for r in p.run(spark, SF).collect():
+        got.setdefault(r.doc_id, []).append(r)
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(got) == set(copies)
+    for i, pieces in got.items():
+        ids = own.encode(texts[i], add_special_tokens=False).ids + [2]
+        assert sum(r.length for r in pieces) == copies[i] * len(ids) and sum(r.start == 0 for r in pieces) == copies[i]
+        for r in pieces:
+            assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+    for parts in filled.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 4096
 
 
 def test_empty_documents(spark):
