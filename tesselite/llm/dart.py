@@ -12,8 +12,9 @@ size.
 Documents are sets of five-word shingles (lower case, split at white space);
 weights are 1 ("presence", Jaccard of sets) or how often a shingle stands
 there ("count").  A shorter text is one shingle.  Equal texts become one
-node first.  One pass over the texts gives signatures and sorted shingles, which
-are written once; after that texts aren't read again.  Nodes that share a band of a
+node first.  Texts are never shuffled: one pass over them gives signatures, a second one the sorted
+shingles of those that share a band with another, which a bit map of bounded size tells from
+the rest.  Nodes that share a band of a
 signature are compared exactly by their shingles, in two steps that neither list all
 pairs of a bucket nor lose one:
 
@@ -70,6 +71,10 @@ HELD = 512
 PASSING = 2048
 #: Equal texts that a task remembers, in one of two generations.
 SEEN = 200_000
+#: Bits of the map that tells which texts' shingles are wanted: 16 for each, within these bounds (16 MB at most).  A map too
+#: small for them lets more texts pass, which the join behind it drops.
+LEAST_BITS = 1 << 16
+MOST_BITS = 1 << 27
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -218,41 +223,81 @@ def _node(text):
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+class Seen:
+    """Names met before, the last ones at least: bounded in two generations."""
+
+    def __init__(self, most: int = SEEN):
+        self.most, self.young, self.old = most, set(), set()
+
+    def add(self, name: bytes) -> bool:
+        """Whether the name is new."""
+        if name in self.young:
+            return False
+        new = name not in self.old
+        self.young.add(name)
+        if len(self.young) >= self.most:
+            self.young, self.old = set(), self.young
+        return new
+
+
 def signatures(documents: DataFrame, weighting: str) -> DataFrame:
-    """(key, row, node, own, bands, items): a number and its text's name for every row; where a task meets a text with words first
-    (``own``) its bands and sorted shingles as well."""
+    """(key, row, node, own, bands): a number and its text's name for every row; where a task meets a text with words first
+    (``own``) its bands as well."""
     rows = documents.select(F.col("doc_id").alias("_key"), F.col("text").alias("_text"), _node(F.col("text")).alias("_node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
-        young: set[bytes] = set()
-        old: set[bytes] = set()
+        number, seen = TaskContext.get().partitionId() << 33, Seen()
         for b in batches:
             nodes = b.column("_node").to_pylist()
-            new = []
-            for k, node in enumerate(nodes):
-                if node not in young:
-                    if node not in old:
-                        new.append(k)
-                    young.add(node)
-                    if len(young) >= SEEN:
-                        young, old = set(), young
+            new = [k for k, node in enumerate(nodes) if seen.add(node)]
             lows = hashing.lowered(b.column("_text").take(pa.array(new, pa.int64())).to_pylist())
             bands: list = [None] * len(nodes)
-            items: list = [None] * len(nodes)
             for first, end in hashing.groups(lows):
-                docs = end - first
-                x, w, doc = weighted_sets(*shingles_of(lows[first:end]), docs, weighting)
-                keys = band_keys(signatures_of(x, w, doc, docs))
-                cuts = np.searchsorted(doc, np.arange(docs + 1)).tolist()
-                for d in range(docs):
-                    if cuts[d] < cuts[d + 1]:
-                        bands[new[first + d]] = keys[d]
-                        items[new[first + d]] = elements(x[cuts[d] : cuts[d + 1]], w[cuts[d] : cuts[d + 1]], weighting).tobytes()
-            yield pa.RecordBatch.from_pydict({"key": b.column("_key"), "row": pa.array(np.arange(number, number + len(nodes)), pa.int64()), "node": b.column("_node"), "own": pa.array([i is not None for i in items], pa.bool_()), "bands": pa.array(bands, pa.list_(pa.int64())), "items": pa.array(items, pa.binary())})
+                x, w, doc = weighted_sets(*shingles_of(lows[first:end]), end - first, weighting)
+                keys = band_keys(signatures_of(x, w, doc, end - first))
+                for d in np.unique(doc).tolist():
+                    bands[new[first + d]] = keys[d]
+            yield pa.RecordBatch.from_pydict({"key": b.column("_key"), "row": pa.array(np.arange(number, number + len(nodes)), pa.int64()), "node": b.column("_node"), "own": pa.array([i is not None for i in bands], pa.bool_()), "bands": pa.array(bands, pa.list_(pa.int64()))})
             number += len(nodes)
 
-    return map_texts(rows, run, f"key {rows.schema['_key'].dataType.simpleString()}, row bigint, node binary, own boolean, bands array<bigint>, items binary")
+    return map_texts(rows, run, f"key {rows.schema['_key'].dataType.simpleString()}, row bigint, node binary, own boolean, bands array<bigint>")
+
+
+def _places(node, mask: int) -> list:
+    """Four places in a bit map."""
+    halves = [half for h in (F.xxhash64(node), F.xxhash64(node, F.lit(1))) for half in (h, F.shiftrightunsigned(h, 32))]
+    return [h.bitwiseAND(F.lit(mask).cast("long")) for h in halves]
+
+
+def _sets(documents: DataFrame, wanted: DataFrame, weighting: str) -> DataFrame:
+    """(row, items): the sorted shingles of the wanted texts (node, row), kept in the shared folder."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * wanted.count()).bit_length()))
+    places = wanted.select(F.explode(F.array(*_places(F.col("node"), bits - 1))).alias("p"))
+    set_bits = places.groupBy(F.shiftright("p", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits")).toArrow()
+    found = np.zeros(bits >> 5, np.uint32)
+    found[set_bits.column("word").to_numpy()] = set_bits.column("bits").to_numpy().astype(np.uint32)
+    sent = wanted.sparkSession.sparkContext.broadcast(found)
+    node = _node(F.col("text"))
+    texts = documents.select(F.col("text").alias("_text"), node.alias("_node")).select("_text", "_node", F.array(*_places(F.col("_node"), bits - 1)).alias("_places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = sent.value, Seen()
+        for b in batches:
+            at = b.column("_places").flatten().to_numpy().reshape(-1, 4)
+            passed = ((table[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(axis=1)
+            nodes = b.column("_node")
+            new = [k for k in np.flatnonzero(passed).tolist() if seen.add(nodes[k].as_py())]
+            took = pa.array(new, pa.int64())
+            lows = hashing.lowered(b.column("_text").take(took).to_pylist())
+            items: list[bytes] = []
+            for first, end in hashing.groups(lows):
+                x, w, doc = weighted_sets(*shingles_of(lows[first:end]), end - first, weighting)
+                cuts = np.searchsorted(doc, np.arange(end - first + 1)).tolist()
+                items += [elements(x[a:z], w[a:z], weighting).tobytes() for a, z in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_pydict({"node": nodes.take(took), "items": pa.array(items, pa.binary())})
+
+    made = map_texts(texts, run, "node binary, items binary")
+    return materialise(made.join(wanted, "node").groupBy("row").agg(F.first("items").alias("items")), "shingles")
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -404,7 +449,8 @@ def classes(documents: DataFrame, *, similarity: float = SIMILARITY, weighting:
     pivots = buckets.join(popular, "row").groupBy("bucket").agg(F.max_by("row", F.struct("popular", "row")).alias("pivot"))
     members = materialise(buckets.join(pivots, "bucket"), "members")
     discard(buckets)
-    sets = materialise(signed.filter("own").select("row", "items").join(members.select("row").distinct(), "row", "left_semi"), "shingles")
+    wanted = materialise(nodes.select("node", "row").join(members.select("row").distinct(), "row", "left_semi"), "wanted")
+    sets = _sets(documents, wanted, weighting)
     stars = materialise(members.filter("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     links = materialise(verify(stars, sets, similarity), "links")
     found = components(links)
@@ -412,7 +458,7 @@ def classes(documents: DataFrame, *, similarity: float = SIMILARITY, weighting:
     home = found.select(F.col("row").alias("pivot"), F.col("component").alias("home"))
     named = spread_join(named, home, "pivot", F.col("row"), left=True).withColumn("home", F.coalesce("home", "pivot"))
     more = _rest(named, sets, similarity)
-    discard(members, stars, sets)
+    discard(members, stars, sets, wanted)
     if not more.isEmpty():
         old, found = found, components(links.unionByName(more))
         discard(old)
