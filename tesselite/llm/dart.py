@@ -21,10 +21,10 @@ pairs of a bucket nor lose one:
 1. each member of a bucket with the bucket's pivot, its member that shares most
    bands with others;
 2. where a member stays outside the pivot's component, it meets those of its
-   bucket's members that share one of its rarest shingles.  Two sets with a
-   similarity of s have at least a share s of either in common, so that of each the
-   rarest share 1 - s and one more hold a common one.  Boilerplate is never
-   among the rarest, so that a cluster that shares it alone makes no pairs.  Rows of which
+   bucket's members that share enough of its rarest shingles.  Two sets with a
+   similarity of s have at least a share s of either in common, so that the rarest share
+   1 - s of each and m more hold m common ones.  Boilerplate is hardly
+   among the rarest, so that a cluster that shares it alone makes few pairs.  Rows of which
    even the rarest shingles are held by many meet within blocks, from which only links
    come out.
 
@@ -64,6 +64,8 @@ COORDINATES = BANDS * ROWS
 FIRST_RANK = 2.0**-4
 #: Members compared with one copy of a pivot's shingles.
 STAR = 256
+#: Of a set's shingles so many, as a share and one more, must be common among the rarest.
+COMMON = 0.1
 #: Pairs that one shingle may propose; rows of which a rare shingle proposes more meet in blocks.
 PROPOSED = 4096
 #: Rows that a block holds, and rows that come by in one task.
@@ -297,7 +299,8 @@ def _sets(documents: DataFrame, wanted: DataFrame, weighting: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"node": nodes.take(took), "items": pa.array(items, pa.binary())})
 
     made = map_texts(texts, run, "node binary, items binary")
-    return materialise(made.join(wanted, "node").groupBy("row").agg(F.first("items").alias("items")), "shingles")
+    # grouped and joined by one dealing of the shingles
+    return materialise(made.groupBy("node").agg(F.first("items").alias("items")).join(wanted, "node").select("row", "items"), "shingles")
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -315,7 +318,7 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     behind it in their partition, and a b with many a has several copies."""
     few = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).alias("parts"))
     dealt = spread_join(pairs, few, "b", F.col("a")).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
-    members = spread_join(dealt, sets.select(F.col("row").alias("a"), "items"), "a", F.col("b")).select("b", "part", F.lit(1).alias("role"), "a", "items")
+    members = dealt.join(sets.select(F.col("row").alias("a"), "items"), "a").select("b", "part", F.lit(1).alias("role"), "a", "items")
     pivots = few.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(sets.withColumnRenamed("row", "b"), "b").select("b", "part", F.lit(0).alias("role"), F.col("b").alias("a"), "items")
     rows = pivots.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", "role")
 
@@ -337,8 +340,8 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _rarest(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(row, size, token): of each row's shingles the rarest among these rows, as many as any set as similar must share
-    one of; without those that no other row holds."""
+    """(row, size, least, token): of each row's shingles the rarest among these rows, as many as that any set as similar shares
+    ``least`` of them (or as many as its own least, if that is smaller); without those that no other row holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -350,8 +353,9 @@ def _rarest(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     often = each.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     # a row's list is as long as its text
     sorted_ = each.join(often, "token", "left").groupBy("row", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("t"))
-    most = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
-    out = materialise(sorted_.select("row", "size", F.explode(F.transform(F.filter(F.slice("t", 1, most.cast("int")), lambda x: x["n"] > 1), lambda x: x["token"])).alias("token")), "rarest")
+    least = F.floor(F.col("size") * COMMON) + 1
+    most = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + least
+    out = materialise(sorted_.select("row", "size", least.alias("least"), F.explode(F.transform(F.filter(F.slice("t", 1, most.cast("int")), lambda x: x["n"] > 1), lambda x: x["token"])).alias("token")), "rarest")
     discard(each)
     return out
 
@@ -367,14 +371,16 @@ def _rest(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     held = ask.select("home", "row", "component").distinct()
     asked = materialise(members.select("bucket", "row", "component").join(ask.select("bucket", "home").distinct(), "bucket").select("home", "row", "component").distinct(), "asked")
     rare = _rarest(asked, sets, similarity)
-    mine = rare.join(held, "row").select("home", "token", F.col("row").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"))
-    theirs = rare.join(asked, "row").select("home", "token", F.col("row").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"))
+    mine = rare.join(held, "row").select("home", "token", F.col("row").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("least").alias("la"))
+    theirs = rare.join(asked, "row").select("home", "token", F.col("row").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("least").alias("lb"))
     counts = mine.groupBy("home", "token").agg(F.count("*").alias("m")).join(theirs.groupBy("home", "token").agg(F.count("*").alias("k")), ["home", "token"])
     counts = materialise(counts.select("home", "token", (F.col("m") * F.col("k") > PROPOSED).alias("hot")), "proposals")
     cold, hot = counts.filter("not hot").drop("hot"), counts.filter("hot").drop("hot")
     alike = (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9)
     pairs = mine.join(cold, ["home", "token"]).join(theirs, ["home", "token"]).filter(alike)
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    # a pair that shares a hot shingle meets in blocks; of any other all that it shares is counted here
+    enough = pairs.groupBy("home", "a", "b").agg(F.count("*").alias("n"), F.first(F.least("la", "lb")).alias("least")).filter("n >= least")
+    pairs = materialise(enough.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = verify(pairs, sets, similarity)
     if not hot.isEmpty():
         there = lambda side, name: side.join(hot, ["home", "token"]).select("home", F.col(name).alias("row")).distinct()

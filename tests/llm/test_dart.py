@@ -172,3 +172,22 @@ def test_maps_and_repeated_ids_are_kept(spark):
     kept = dart.keep_one(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id, r.text or "", str(r.more)) for r in kept.collect()) in ([(1, "a b c d e f", "{'k': 'y'}"), (1, "quite another text", "{}"), (2, "", "None")],)
+
+
+@pytest.mark.parametrize(("common", "proposed"), [(0.0, 10**9), (0.1, 10**9), (0.1, 50), (0.1, 0)])
+def test_rest_finds_every_link_of_a_bucket(spark, monkeypatch, common, proposed):
+    rng = np.random.default_rng(3)
+    base, sets = rng.integers(0, 1 << 62, 100), []
+    for i in range(130):
+        x = np.concatenate((base[: rng.integers(55, 100)], rng.integers(0, 1 << 62, rng.integers(2, 30))))
+        sets.append(np.unique(x).astype(np.uint64))
+        if i % 4 == 0:
+            x[rng.integers(0, len(x), 4)] = rng.integers(0, 1 << 62, 4)
+            sets.append(np.unique(x).astype(np.uint64))
+    want = {(j, i) for i in range(1, len(sets)) for j in range(1, i) if dart.similar(sets[i], sets[j], 0.8)}
+    monkeypatch.setattr(dart, "COMMON", common)
+    monkeypatch.setattr(dart, "PROPOSED", proposed)
+    items = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "row long, items binary")
+    members = spark.createDataFrame([(7, i, len(sets), 0, i, 0) for i in range(len(sets))], "bucket long, row long, n long, pivot long, component long, home long")
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in dart._rest(members, items, 0.8).collect()}
+    assert {p for p in got if p[0]} == want
