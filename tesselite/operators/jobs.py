@@ -104,13 +104,17 @@ def not_modified(etag: Column, if_none_match: Column) -> Column:
     return F.when(etag.eqNullSafe(if_none_match), 304).otherwise(200)
 
 
-def render_order(jobs: DataFrame, dirty: DataFrame, budget: int) -> DataFrame:
-    """One pass of a worker: all jobs first, then as many tiles above as the budget, deepest first.  Null when paused is
-    the caller's choice."""
+def render_order(jobs: DataFrame, dirty: DataFrame, budget: int, paused: bool = False) -> DataFrame:
+    """One pass of a worker: nothing while paused; all jobs that wait, and only if none does as many tiles above as the
+    budget, deepest first.  Whether a job waits is asked by a join of one row, not by the driver."""
     from tesselite.operators.pyramid import by_priority
 
     head = jobs.select(F.lit(0).alias("phase"), "dimension", "zoom", F.col("start_x").alias("x"), F.col("start_y").alias("y"))
-    return head.unionByName(by_priority(dirty, budget).select(F.lit(1).alias("phase"), "dimension", "zoom", "x", "y"))
+    waits = jobs.limit(1).select(F.lit(1).alias("_waits"))
+    idle = by_priority(dirty, budget).select(F.lit(1).alias("phase"), "dimension", "zoom", "x", "y").withColumn("_one", F.lit(1))
+    tail = idle.join(F.broadcast(waits), F.col("_one") == F.col("_waits"), "left_anti").drop("_one")
+    out = head.unionByName(tail)
+    return out.limit(0) if paused else out
 
 
 def outcomes(results: DataFrame) -> DataFrame:

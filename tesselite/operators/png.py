@@ -61,16 +61,22 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def encode_tiles(cut: DataFrame, tile_size: int) -> DataFrame:
-    """(dimension, zoom, tile_x, tile_y, colors, png) of every tile; pixels that aren't there are clear.  A group is
+    """(dimension, zoom, tile_x, tile_y, colors, png, message) of every tile; pixels that aren't there are clear.  A tile that
+    can't be encoded, as a pixel of it lies outside, has no bytes and a message, and the others go on.  A group is
     one tile, so its size is fixed."""
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((tile_size, tile_size), np.int64)
-        image[rows["in_y"].to_numpy(), rows["in_x"].to_numpy()] = rows["argb"].to_numpy()
-        return pd.DataFrame({"dimension": [key[0]], "zoom": [key[1]], "tile_x": [key[2]], "tile_y": [key[3]], "colors": [len(np.unique(image))], "png": [encode(image)]})
+        data, colors, message = None, None, None
+        try:
+            image = np.zeros((tile_size, tile_size), np.int64)
+            image[rows["in_y"].to_numpy(), rows["in_x"].to_numpy()] = rows["argb"].to_numpy()
+            data, colors = encode(image), len(np.unique(image))
+        except Exception as e:
+            message = f"{type(e).__name__}: {e}"
+        return pd.DataFrame({"dimension": [key[0]], "zoom": [key[1]], "tile_x": [key[2]], "tile_y": [key[3]], "colors": pd.array([colors], "Int64"), "png": [data], "message": [message]})
 
     key = ["dimension", "zoom", "tile_x", "tile_y"]
-    return cut.select(*key, "in_x", "in_y", "argb").groupBy(*key).applyInPandas(one, "dimension string, zoom int, tile_x bigint, tile_y bigint, colors bigint, png binary")
+    return cut.select(*key, "in_x", "in_y", "argb").groupBy(*key).applyInPandas(one, "dimension string, zoom int, tile_x bigint, tile_y bigint, colors bigint, png binary, message string")
 
 
 def decode_tiles(tiles: DataFrame) -> DataFrame:
@@ -78,7 +84,7 @@ def decode_tiles(tiles: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples(index=False):
+            for r in b[b["png"].notna()].itertuples(index=False):
                 image = decode(r.png)
                 y, x = np.indices(image.shape)
                 yield pd.DataFrame({"dimension": r.dimension, "zoom": r.zoom, "tile_x": r.tile_x, "tile_y": r.tile_y, "in_x": x.ravel(), "in_y": y.ravel(), "argb": image.ravel()})

@@ -42,6 +42,26 @@ def pyramid(leaves: DataFrame, grid: Grid, top: int | None = None) -> DataFrame:
     return out
 
 
+def refresh(stored: DataFrame, fresh: DataFrame, grid: Grid, top: int | None = None) -> DataFrame:
+    """Pixels of the tiles above changed ones, made anew from stored levels: stored holds all levels' pixels (zoom, dimension,
+    px, py, argb), fresh the changed tiles of the highest zoom, whole.  Level by level only the children of dirty tiles are read:
+    those that were made anew from there, the others from the store.  (zoom, dimension, px, py, argb) of fresh and all that is above."""
+    size = grid.tile_size
+    tile = {"tile_x": g.floordiv(F.col("px"), size), "tile_y": g.floordiv(F.col("py"), size)}
+    key = ["dimension", "tile_x", "tile_y"]
+    level = fresh.select("dimension", "px", "py", "argb")
+    out = level.withColumn("zoom", F.lit(grid.max_zoom))
+    for zoom in range(grid.max_zoom - 1, (grid.min_zoom if top is None else top) - 1, -1):
+        made = level.withColumns(tile)
+        changed = made.select(*key).distinct()
+        parents = changed.select("dimension", g.floordiv(F.col("tile_x"), 2).alias("up_x"), g.floordiv(F.col("tile_y"), 2).alias("up_y")).distinct()
+        below = stored.filter(F.col("zoom") == zoom + 1).select("dimension", "px", "py", "argb").withColumns(tile).join(changed, key, "left_anti")
+        below = below.withColumns({"up_x": g.floordiv(F.col("tile_x"), 2), "up_y": g.floordiv(F.col("tile_y"), 2)}).join(parents, ["dimension", "up_x", "up_y"], "left_semi")
+        level = halve(made.select("dimension", "px", "py", "argb").unionByName(below.select("dimension", "px", "py", "argb")))
+        out = out.unionByName(level.withColumn("zoom", F.lit(zoom)))
+    return out
+
+
 def dirty_ancestors(changed: DataFrame, min_zoom: int) -> DataFrame:
     """Each tile above a changed one, once."""
     up = t.ancestors(changed.select("dimension", "zoom", "x", "y"), min_zoom)

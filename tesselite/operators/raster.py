@@ -69,10 +69,11 @@ def water(depth: Column, parity: Column) -> Column:
 
 
 def shade(raster: DataFrame, blocks_per_pixel: int) -> DataFrame:
-    """Pixels with brightness and argb; a pixel without a northern neighbour compares with itself."""
+    """Pixels with brightness and argb; a pixel compares with the one right to its north, and with itself where there is none."""
     north = Window.partitionBy("dimension", "px").orderBy("py")
     height = F.col("height").cast("double")
-    delta = height - F.coalesce(F.lag(height, 1).over(north), height)
+    beside = F.when(F.col("py") - F.lag("py", 1).over(north) == 1, F.lag(height, 1).over(north))
+    delta = height - F.coalesce(beside, height)
     parity = odd(F.col("px"), F.col("py"))
     shaded = raster.withColumn("delta", delta).withColumn("brightness", F.when(F.col("color") == c.WATER, water(F.col("depth"), parity)).otherwise(slope(F.col("delta"), blocks_per_pixel, parity)))
     return shaded.withColumn("argb", c.blend(F.col("overlay"), c.argb(F.col("color"), F.col("brightness"))))

@@ -113,6 +113,24 @@ def dense(columns: DataFrame, sampled: DataFrame, min_build: int) -> DataFrame:
     )
 
 
+def chunk_columns(chunks: DataFrame) -> DataFrame:
+    """All columns (dimension, x, z) of the chunks."""
+    side = lambda c: F.explode(F.sequence(F.col(c) * 16, F.col(c) * 16 + 15))
+    return chunks.select("dimension", "chunk_x", "chunk_z").distinct().withColumn("x", side("chunk_x")).withColumn("z", side("chunk_z")).select(*KEY)
+
+
+def in_complete_jobs(samples: DataFrame, jobs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Samples of the jobs (job_id, dimension, min_x, min_z, max_x, max_z) all of whose chunks are there, with the job's id; a sample
+    belongs to each job whose box holds it.  Boxes and samples meet by chunk."""
+    span = lambda a, b: F.explode(F.sequence(g.floordiv(F.col(a), 16), g.floordiv(F.col(b) - 1, 16)))
+    whole = complete_jobs(jobs, chunks).filter("complete").select("job_id")
+    boxes = jobs.join(whole, "job_id").withColumn("chunk_x", span("min_x", "max_x")).withColumn("chunk_z", span("min_z", "max_z"))
+    placed = samples.withColumns({"chunk_x": g.floordiv(F.col("x"), 16), "chunk_z": g.floordiv(F.col("z"), 16)})
+    met = placed.join(boxes, ["dimension", "chunk_x", "chunk_z"])
+    inside = (F.col("x") >= F.col("min_x")) & (F.col("x") < F.col("max_x")) & (F.col("z") >= F.col("min_z")) & (F.col("z") < F.col("max_z"))
+    return met.filter(inside).select("job_id", *samples.columns)
+
+
 def ceiling(columns: DataFrame) -> DataFrame:
     """Samples of a roofed dimension: dirt or stone by a hash of the place.  Only the lowest 21 bits matter, which
     keeps the arithmetic within a long."""

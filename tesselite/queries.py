@@ -14,7 +14,7 @@ from tesselite.operators import jobs as j
 from tesselite.operators import markers as m
 from tesselite.operators import png, publish, pyramid, raster, surface
 from tesselite.operators import tiles as t
-from tesselite.plans.spec import Grid, MarkerPolicy, Profile, Scheduling, ServerMode, Settings
+from tesselite.plans.spec import Extent, Grid, MarkerPolicy, Profile, Scheduling, ServerMode, Settings
 from tesselite.sources import fixtures as fx
 
 #: Grid of tile queries, and of the raster queries, whose world is 64 blocks wide.
@@ -56,7 +56,8 @@ VOXELS = """reg(material, is_air, fluid, shape_empty, bottom, top, solid, leaves
     WHEN solid THEN CASE WHEN leaves THEN 'FOLIAGE_SURFACE' ELSE 'OPAQUE_SURFACE' END WHEN leaves THEN 'FOLIAGE_SURFACE' WHEN top >= 1 - 1e-6 AND NOT occl THEN 'TRANSPARENT_STRUCTURE' ELSE 'UNKNOWN_FALLBACK' END AS kind,
     CASE WHEN fluid AND NOT sturdy THEN fcolor ELSE color END AS seen FROM reg
 ), vox AS (
-  SELECT l_partkey % 64 - 32 AS x, CAST(l_quantity AS BIGINT) AS y, l_suppkey % 64 - 32 AS z, CAST(max(l_orderkey % 16) AS INTEGER) AS material FROM lineitem GROUP BY 1, 2, 3
+  SELECT l_partkey % 64 - 32 AS x, CAST(l_quantity AS BIGINT) AS y, l_suppkey % 64 - 32 AS z, CAST(max(l_orderkey % 16) AS INTEGER) AS material FROM lineitem
+  WHERE NOT ((l_partkey % 64 // 16) * 3 + l_suppkey % 64 // 16) % 7 = 4 AND NOT (l_partkey % 64 % 7 = 3 AND l_suppkey % 64 % 5 = 2) GROUP BY 1, 2, 3
 )"""
 _RGB = ", ".join(map(str, c.BASE_COLORS))
 COLORS = f"pal AS (SELECT [{_RGB}] AS p)"
@@ -78,9 +79,14 @@ SURFACES = VOXELS + ", " + COLORS + """, seen AS (SELECT v.*, k.kind, k.fluid, k
     CASE WHEN top <= 0 THEN 0 WHEN s.kind = 'TRANSPARENT_STRUCTURE' THEN CASE WHEN s.color = 0 THEN 0 ELSE 2147483648 + p[s.color + 1] END ELSE coalesce(CASE WHEN thin = 0 THEN 0 ELSE 2147483648 + p[thin + 1] END, 0) END AS overlay
   FROM srf LEFT JOIN run USING (x, z) JOIN aside USING (x, z), pal
 )"""
-SHADED = SURFACES + """, pix AS (
-  SELECT 2 * x + i AS px, 2 * z + k AS py, color, CAST(CAST(y AS FLOAT) AS DOUBLE) AS h, depth, overlay FROM colm, generate_series(0, 1) a(i), generate_series(0, 1) b(k)
-), dlt AS (SELECT *, h - coalesce(lag(h) OVER (PARTITION BY px ORDER BY py), h) AS d, ((px + py) % 2 + 2) % 2 AS o FROM pix
+DENSE = SURFACES + """, chk AS (SELECT DISTINCT CAST(floor(x / 16.0::DOUBLE) AS BIGINT) AS cx, CAST(floor(z / 16.0::DOUBLE) AS BIGINT) AS cz FROM vox
+), den AS (
+  SELECT a.x, a.z, coalesce(y, 0) AS y, coalesce(color, 11) AS color, coalesce(kind, 'OPAQUE_SURFACE') AS kind, coalesce(depth, 0) AS depth, coalesce(overlay, 0) AS overlay
+  FROM (SELECT cx * 16 + i AS x, cz * 16 + k AS z FROM chk, generate_series(0, 15) s(i), generate_series(0, 15) t(k)) a LEFT JOIN colm USING (x, z)
+)"""
+SHADED = DENSE + """, pix AS (
+  SELECT 2 * x + i AS px, 2 * z + k AS py, color, CAST(CAST(y AS FLOAT) AS DOUBLE) AS h, depth, overlay FROM den, generate_series(0, 1) a(i), generate_series(0, 1) b(k)
+), dlt AS (SELECT *, h - coalesce(CASE WHEN py - lag(py) OVER w = 1 THEN lag(h) OVER w END, h) AS d, ((px + py) % 2 + 2) % 2 AS o FROM pix WINDOW w AS (PARTITION BY px ORDER BY py)
 ), brt AS (
   SELECT *, CASE WHEN color = 12 THEN CASE WHEN depth * 0.1::DOUBLE + o * 0.2::DOUBLE < 0.5::DOUBLE THEN 2 WHEN depth * 0.1::DOUBLE + o * 0.2::DOUBLE > 0.9::DOUBLE THEN 0 ELSE 1 END
     ELSE CASE WHEN d * 4.0::DOUBLE / 5.0::DOUBLE + (o::DOUBLE - 0.5::DOUBLE) * 0.4::DOUBLE > 0.6::DOUBLE THEN 2 WHEN d * 4.0::DOUBLE / 5.0::DOUBLE + (o::DOUBLE - 0.5::DOUBLE) * 0.4::DOUBLE < -0.6::DOUBLE THEN 0 ELSE 1 END END AS br FROM dlt
@@ -243,6 +249,18 @@ def tps_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.throttle(fx.tps_samples(spark, sf_dir), Scheduling(), ["at", "id"]).select("id", "tps", "paused")
 
 
+@query(f"WITH {EVENTS} SELECT event_id, least(20.0::DOUBLE, 1e9::DOUBLE / ((k * 1000003)::DOUBLE + 1.0::DOUBLE)) AS tps FROM ev")
+def tps_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks a second from the mean time of a tick."""
+    return fx._events(spark, sf_dir).select("event_id", j.tps(F.lit(20.0), (F.col("k") * 1_000_003).cast("double")).alias("tps"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS side, [-768.0::DOUBLE, -1536.0::DOUBLE, 2304.0::DOUBLE, 512.0::DOUBLE][i] AS bound FROM generate_series(1, 4) s(i)")
+def client_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounds of a published extent in the client's pixels."""
+    return spark.range(1).select(F.posexplode(g.client_extent(GRID, Extent(-3, -2, 8, 5))).alias("i", "bound")).select((F.col("i") + 1).alias("side"), "bound")
+
+
 @query(f"""WITH {STORED}, up AS (SELECT DISTINCT CAST(az AS INTEGER) AS zoom, CAST(floor(x / CAST(1 << CAST(zoom - az AS INTEGER) AS DOUBLE)) AS BIGINT) AS x, CAST(floor(y / CAST(1 << CAST(zoom - az AS INTEGER) AS DOUBLE)) AS BIGINT) AS y FROM st, generate_series(0, 7) s(az) WHERE az < zoom)
 SELECT * FROM up ORDER BY zoom DESC, x, y LIMIT 64""")
 def ancestor_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +268,7 @@ def ancestor_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pyramid.by_priority(pyramid.dirty_ancestors(fx.stored_tiles(spark, sf_dir), 0), 64).select("zoom", "x", "y")
 
 
-@query(f"""WITH RECURSIVE {STORED}, roots AS (SELECT o_custkey AS root_id, 0 AS zoom, o_custkey % 3 - 1 AS x, o_custkey % 5 - 2 AS y FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey <= 40)),
+@query(f"""WITH RECURSIVE {STORED}, roots AS (SELECT o_custkey AS root_id, 0 AS zoom, o_custkey % 3 - 1 AS x, o_custkey % 5 - 2 AS y FROM (SELECT DISTINCT o_custkey FROM orders)),
 lv(root_id, zoom, x, y, rnk) AS (
   SELECT root_id, zoom, x, y, CAST(1 AS BIGINT) FROM roots
   UNION ALL
@@ -262,7 +280,7 @@ SELECT root_id, zoom, x, y, visit, CASE WHEN zoom >= 5 THEN 'render' ELSE 'mark'
 def miss_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     k = F.col("o_custkey")
-    roots = o.filter(k <= 40).select(k.alias("root_id"), F.lit(fx.DIMENSION).alias("dimension"), F.lit(0).alias("zoom"), (k % 3 - 1).alias("x"), (k % 5 - 2).alias("y")).distinct()
+    roots = o.select(k.alias("root_id"), F.lit(fx.DIMENSION).alias("dimension"), F.lit(0).alias("zoom"), (k % 3 - 1).alias("x"), (k % 5 - 2).alias("y")).distinct()
     return pyramid.expand_misses(roots, fx.stored_tiles(spark, sf_dir), 5).drop("dimension")
 
 
@@ -321,10 +339,14 @@ def voxel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT job_id, i, k FROM jb, LATERAL (SELECT unnest(generate_series(CAST(floor(x0 / 16.0::DOUBLE) AS BIGINT), CAST(floor((x0 + 31) / 16.0::DOUBLE) AS BIGINT))) AS i) u, LATERAL (SELECT unnest(generate_series(CAST(floor(z0 / 16.0::DOUBLE) AS BIGINT), CAST(floor((z0 + 31) / 16.0::DOUBLE) AS BIGINT))) AS k) v)
 SELECT job_id, count(*) AS chunks, count(c.cx) AS present, count(*) = count(c.cx) AS complete FROM w LEFT JOIN c ON c.cx = i AND c.cz = k GROUP BY 1""")
 def complete_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surface.complete_jobs(_jobs(spark), surface.chunks_of(fx.voxels(spark, sf_dir)))
+
+
+def _jobs(spark: SparkSession) -> DataFrame:
+    """Boxes that overlap, some of them beyond the world's edge."""
     a = spark.range(5).select(F.col("id").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
     x0, z0 = F.col("a") * 24 - 60, F.col("b") * 24 - 60
-    jobs = a.select((F.col("a") * 10 + F.col("b")).alias("job_id"), F.lit(fx.DIMENSION).alias("dimension"), x0.alias("min_x"), z0.alias("min_z"), (x0 + 32).alias("max_x"), (z0 + 32).alias("max_z"))
-    return surface.complete_jobs(jobs, surface.chunks_of(fx.voxels(spark, sf_dir)))
+    return a.select((F.col("a") * 10 + F.col("b")).alias("job_id"), F.lit(fx.DIMENSION).alias("dimension"), x0.alias("min_x"), z0.alias("min_z"), (x0 + 32).alias("max_x"), (z0 + 32).alias("max_z"))
 
 
 @query(f"""WITH {BOXES}, d AS (SELECT DISTINCT x0 AS x, z0 AS z FROM bx), h1 AS (SELECT *, (((x + ((z % 2097152 + 2097152) % 2097152) * 231871) % 2097152) + 2097152) % 2097152 AS h FROM d),
@@ -344,8 +366,31 @@ def pixel_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.pixels(s, MAP, 1).select("px", "py", "color", F.col("height").cast("double").alias("height"), "depth", "overlay", "kind")
 
 
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of all columns of the chunks that are there."""
+    v = fx.voxels(spark, sf_dir)
+    return surface.dense(surface.chunk_columns(surface.chunks_of(v)), surface.surfaces(v, fx.registry(spark), fx.MIN_BUILD), fx.MIN_BUILD)
+
+
+@query(f"WITH {DENSE} SELECT x, z, CAST(y AS BIGINT) AS y, color, kind, CAST(depth AS BIGINT) AS depth, CAST(overlay AS BIGINT) AS overlay FROM den")
+def dense_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir).drop("dimension")
+
+
+_JOBS = "jb AS (SELECT a * 10 + b AS job_id, a * 24 - 60 AS x0, b * 24 - 60 AS z0 FROM generate_series(0, 4) s(a), generate_series(0, 4) t(b))"
+
+
+@query(f"""WITH {DENSE}, {_JOBS}, wnt AS (SELECT job_id, i, k FROM jb, LATERAL (SELECT unnest(generate_series(CAST(floor(x0 / 16.0::DOUBLE) AS BIGINT), CAST(floor((x0 + 31) / 16.0::DOUBLE) AS BIGINT))) AS i) u, LATERAL (SELECT unnest(generate_series(CAST(floor(z0 / 16.0::DOUBLE) AS BIGINT), CAST(floor((z0 + 31) / 16.0::DOUBLE) AS BIGINT))) AS k) v),
+whl AS (SELECT job_id FROM wnt LEFT JOIN chk ON cx = i AND cz = k GROUP BY 1 HAVING count(*) = count(cx))
+SELECT job_id, x, z, CAST(y AS BIGINT) AS y, color FROM jb JOIN whl USING (job_id) JOIN den ON x >= x0 AND x < x0 + 32 AND z >= z0 AND z < z0 + 32""")
+def complete_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of the jobs that may be rendered, because all of their chunks are there."""
+    chunks = surface.chunks_of(fx.voxels(spark, sf_dir))
+    return surface.in_complete_jobs(_dense(spark, sf_dir), _jobs(spark), chunks).select("job_id", "x", "z", "y", "color")
+
+
 def _shaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = surface.surfaces(fx.voxels(spark, sf_dir), fx.registry(spark), fx.MIN_BUILD)
+    s = _dense(spark, sf_dir)
     return raster.shade(raster.pixels(s, MAP, MAP.max_zoom), MAP.blocks_per_pixel(MAP.max_zoom))
 
 
@@ -361,6 +406,18 @@ def shaded_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.groupBy("tile_x", "tile_y").agg(F.count("*").alias("pixels"), F.count_distinct("argb").alias("colors"), F.sum(F.col("argb") * (F.col("in_x") * 16 + F.col("in_y") + 1)).alias("checksum"))
 
 
+@query(f"WITH {SHADED} SELECT px + 20 AS px, py + 9 AS py, br AS brightness, argb FROM shd WHERE px >= -20 AND px < 17 AND py >= -9 AND py < 30")
+def sliced_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part of a shaded raster, counted from its own corner."""
+    return raster.sliced(_shaded(spark, sf_dir), -20, -9, 37, 39).select("px", "py", "brightness", "argb")
+
+
+@query("SELECT n_nationkey AS tile, i AS place, CAST(0 AS BIGINT) AS argb FROM nation, (SELECT CAST(unnest(generate_series(0, 255)) AS INTEGER) AS i)")
+def pending_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clear tile that stands for each one that isn't rendered yet."""
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("tile"), F.posexplode(raster.pending(MAP)).alias("place", "argb"))
+
+
 _LEVEL = """SELECT CAST(floor(px / 2.0::DOUBLE) AS BIGINT) AS px, CAST(floor(py / 2.0::DOUBLE) AS BIGINT) AS py, sum((argb >> 24) & 255) AS a, sum(((((argb >> 24) & 255) * ((argb >> 16) & 255)) + 127) // 255) AS r, sum(((((argb >> 24) & 255) * ((argb >> 8) & 255)) + 127) // 255) AS g, sum(((((argb >> 24) & 255) * (argb & 255)) + 127) // 255) AS b FROM {src} GROUP BY 1, 2"""
 _DONE = """SELECT px, py, CAST(CASE WHEN (a + 2) // 4 = 0 THEN 0 ELSE ((a + 2) // 4) * 16777216 + least(255, (((r + 2) // 4) * 255 + (a + 2) // 4 // 2) // ((a + 2) // 4)) * 65536 + least(255, (((g + 2) // 4) * 255 + (a + 2) // 4 // 2) // ((a + 2) // 4)) * 256 + least(255, (((b + 2) // 4) * 255 + (a + 2) // 4 // 2) // ((a + 2) // 4)) END AS BIGINT) AS argb FROM ({inner})"""
 _LEVELS = ", ".join(f"l{z} AS ({_DONE.format(inner=_LEVEL.format(src='shd' if z == 3 else f'l{z + 1}'))})" for z in (3, 2, 1, 0))

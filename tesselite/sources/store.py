@@ -16,6 +16,19 @@ def write_tiles(tiles: DataFrame, path: str, version: str) -> None:
     out.repartition(*[F.col(c) for c in PARTITIONS], F.pmod(F.xxhash64("x", "y"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
 
 
+def upsert_tiles(fresh: DataFrame, path: str, version: str, staging: str) -> None:
+    """Puts single tiles into a stored version: only the (dimension, zoom) partitions that get one are read, merged and
+    written anew.  What will be there is written to ``staging`` first, as a table can't be replaced while it is read; of
+    several fresh rows for one tile the last by its bytes stays.  A failure before the second write leaves the store as it was."""
+    spark = fresh.sparkSession
+    key = ["dimension", "zoom", "x", "y"]
+    new = fresh.groupBy(*key).agg(F.max("png").alias("png"))
+    touched = new.select("dimension", "zoom").distinct()
+    old = all_tiles(spark, path).filter(F.col("version") == version).join(F.broadcast(touched), ["dimension", "zoom"], "left_semi").select(*key, "png")
+    merged(old, new.select(*key, "png")).write.mode("overwrite").parquet(staging)
+    write_tiles(spark.read.schema("dimension string, zoom int, x bigint, y bigint, png binary").parquet(staging), path, version)
+
+
 def all_tiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 

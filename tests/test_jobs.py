@@ -78,5 +78,5 @@ def test_policy_hides_what_is_recent(spark):
 def test_jobs_come_before_tiles_above(spark):
     jobs = spark.createDataFrame([("d", 8, 0, 4)], "dimension string, zoom int, start_x long, start_y long")
     dirty = spark.createDataFrame([("d", z, 0, 0) for z in (2, 7, 5)], "dimension string, zoom int, x long, y long")
-    got = sorted((r.phase, -r.zoom) for r in j.render_order(jobs, dirty, 2).collect())
-    assert got == [(0, -8), (1, -7), (1, -5)]
+    order = lambda jobs, **more: sorted((r.phase, -r.zoom) for r in j.render_order(jobs, dirty, 2, **more).collect())
+    assert order(jobs) == [(0, -8)] and order(jobs.limit(0)) == [(1, -7), (1, -5)] and order(jobs, paused=True) == []

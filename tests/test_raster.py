@@ -97,3 +97,33 @@ def test_slices_and_pending(spark):
     got = {(r.px, r.py) for r in raster.sliced(rows, 1, 2, 2, 1).collect()}
     assert got == {(0, 0), (1, 0)}
     assert spark.range(1).select(raster.pending(Grid(tile_size=4, pixels_per_block=1))).first()[0] == [0] * 16
+
+
+def test_shade_passes_over_gaps(spark):
+    rows = [("d", 0, y, 11, h, 0, 0, "k") for y, h in ((0, 90.0), (500, 10.0), (501, 90.0), (503, 10.0))]
+    got = {r.py: (r.delta, r.brightness) for r in raster.shade(spark.createDataFrame(rows, PIXEL), 1).collect()}
+    assert got == {0: (0.0, 1), 500: (0.0, 1), 501: (80.0, 2), 503: (0.0, 1)}
+
+
+def test_a_bad_tile_does_not_stop_the_others(spark):
+    rows = [("d", 1, 0, 0, x, 0, 0xFF000001) for x in range(4)] + [("d", 1, 1, 0, 9, 0, 5)]
+    got = {r.tile_x: r for r in png.encode_tiles(spark.createDataFrame(rows, "dimension string, zoom int, tile_x long, tile_y long, in_x int, in_y int, argb long"), 4).collect()}
+    assert got[0].png is not None and got[0].message is None and got[1].png is None and "IndexError" in got[1].message
+    cut = spark.createDataFrame(rows, "dimension string, zoom int, tile_x long, tile_y long, in_x int, in_y int, argb long")
+    assert png.decode_tiles(png.encode_tiles(cut, 4)).count() == 16
+
+
+def test_refresh_equals_a_whole_pyramid(spark):
+    import random
+
+    rnd = random.Random(3)
+    grid = Grid(tile_size=4, max_zoom=3, pixels_per_block=1)
+    old = {(x, y): rnd.randrange(1 << 32) for x in range(-16, 16) for y in range(-16, 16) if rnd.random() < 0.9}
+    new = {(x, y): rnd.randrange(1 << 32) for tx, ty in ((0, 0), (-1, 3), (-4, -4)) for x in range(4 * tx, 4 * tx + 4) for y in range(4 * ty, 4 * ty + 4)}
+    frame = lambda d: spark.createDataFrame([("d", x, y, v) for (x, y), v in d.items()], "dimension string, px long, py long, argb long")
+    stored = pyramid.pyramid(frame(old), grid)
+    want = {(r.zoom, r.px, r.py): r.argb for r in pyramid.pyramid(frame(old | new), grid).collect()}
+    got = {(r.zoom, r.px, r.py): r.argb for r in pyramid.refresh(stored, frame(new), grid).collect()}
+    assert got.items() <= want.items()
+    before = {(r.zoom, r.px, r.py): r.argb for r in stored.collect()}
+    assert before | got == want and len(got) < len(want) / 2

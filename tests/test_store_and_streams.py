@@ -66,3 +66,29 @@ def test_latest_positions_of_a_stream(spark, tmp_path):
     spark.createDataFrame([("a", "A", "o", 1.0, 1.0, 5), ("a", "A", "o", 2.0, 1.0, 9), ("b", "B", "o", 3.0, 1.0, 1)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     live.start_latest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "latest_positions", str(tmp_path / "c")).awaitTermination(120)
     assert {(r.uuid, r.x) for r in spark.table("latest_positions").collect()} == {("a", 2.0), ("b", 3.0)}
+
+
+def test_single_tiles_are_put_in_place(spark, tmp_path):
+    path, staging = str(tmp_path / "tiles"), str(tmp_path / "staging")
+    store.write_tiles(spark.createDataFrame([("o", 3, x, 0, b"a") for x in range(5)] + [("o", 2, 0, 0, b"b"), ("n", 3, 0, 0, b"c")], TILE), path, "v1")
+    store.upsert_tiles(spark.createDataFrame([("o", 3, 1, 0, b"A"), ("o", 3, 9, 0, b"N"), ("e", 1, 0, 0, b"E")], TILE), path, "v1", staging)
+    got = {(r.dimension, r.zoom, r.x): bytes(r.png) for r in store.all_tiles(spark, path).collect()}
+    assert got == {("o", 3, 0): b"a", ("o", 3, 1): b"A", ("o", 3, 2): b"a", ("o", 3, 3): b"a", ("o", 3, 4): b"a", ("o", 3, 9): b"N", ("o", 2, 0): b"b", ("n", 3, 0): b"c", ("e", 1, 0): b"E"}
+
+
+def test_latest_positions_go_to_a_store(spark, tmp_path):
+    from tesselite.operators import markers as m
+
+    schema = "uuid string, name string, dimension string, x double, z double, updated_at long"
+    for n, rows in enumerate(([("a", "A", "o", 1.0, 1.0, 5), ("b", "B", "o", 3.0, 1.0, 1)], [("a", "A", "o", 2.0, 1.0, 9)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live.start_latest_store(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"), parts=2).awaitTermination(120)
+        got = m.latest(spark.read.parquet(str(tmp_path / "out"))).collect()
+        assert {(r.uuid, r.x) for r in got} == ({("a", 1.0), ("b", 3.0)} if n == 0 else {("a", 2.0), ("b", 3.0)})
+
+
+def test_streams_may_run_on(spark, tmp_path):
+    stream, _ = _marks(spark, str(tmp_path / "in"), [(0, 0)])
+    q = live.start_jobs(stream, Profile(), 5, lambda df, n: None, str(tmp_path / "c"), every="1 seconds")
+    assert q.isActive
+    q.stop()
