@@ -57,7 +57,7 @@ VOXELS = """reg(material, is_air, fluid, shape_empty, bottom, top, solid, leaves
     CASE WHEN fluid AND NOT sturdy THEN fcolor ELSE color END AS seen FROM reg
 ), vox AS (
   SELECT l_partkey % 64 - 32 AS x, CAST(l_quantity AS BIGINT) AS y, l_suppkey % 64 - 32 AS z, CAST(max(l_orderkey % 16) AS INTEGER) AS material FROM lineitem
-  WHERE NOT ((l_partkey % 64 // 16) * 3 + l_suppkey % 64 // 16) % 7 = 4 AND NOT (l_partkey % 64 % 7 = 3 AND l_suppkey % 64 % 5 = 2) GROUP BY 1, 2, 3
+  WHERE NOT ((l_partkey % 64 // 16) * 3 + l_suppkey % 64 // 16) % 13 = 3 AND NOT (l_partkey % 64 % 7 = 3 AND l_suppkey % 64 % 5 = 2) GROUP BY 1, 2, 3
 )"""
 _RGB = ", ".join(map(str, c.BASE_COLORS))
 COLORS = f"pal AS (SELECT [{_RGB}] AS p)"

@@ -59,7 +59,7 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One material for each (x, y, z).  Two chunks and some columns of others hold nothing."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     a, b = F.col("l_partkey") % 64, F.col("l_suppkey") % 64
-    li = li.filter(~((F.floor(a / 16) * 3 + F.floor(b / 16)) % 7 == 4) & ~((a % 7 == 3) & (b % 5 == 2)))
+    li = li.filter(~((F.floor(a / 16) * 3 + F.floor(b / 16)) % 13 == 3) & ~((a % 7 == 3) & (b % 5 == 2)))
     return li.groupBy((F.col("l_partkey") % 64 - 32).alias("x"), F.col("l_quantity").cast("long").alias("y"), (F.col("l_suppkey") % 64 - 32).alias("z")).agg(F.max(F.col("l_orderkey") % 16).cast("int").alias("material")).withColumn("dimension", F.lit(DIMENSION))
 
 
