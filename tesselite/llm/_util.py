@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows with whole texts that a function gets at once; Spark itself bounds the bytes of what it sends.
+#: Rows with whole texts that are sent to Python at once; Spark itself bounds their bytes.
 TEXT_BATCH_ROWS = 1000
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 #: Partitions among which the rows of one hot key are dealt.
 SALTS = 64
 
@@ -73,7 +74,11 @@ def kept_and(rows: DataFrame, keep: tuple[str, ...], more: str) -> T.StructType:
 
 
 def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, rows: int = TEXT_BATCH_ROWS) -> DataFrame:
-    """``mapInArrow`` whose function gets at most ``rows`` rows at once, so that what it makes of long texts stays small."""
+    """``mapInArrow`` whose function gets at most ``rows`` rows at once, so that what it makes of long texts stays small.  A session
+    that leaves Spark's default gets such batches from the start, which saves executors memory; one with a setting of its own keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY) == _BATCH_DEFAULT:
+        conf.set(_BATCH_KEY, str(TEXT_BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return fn(b.slice(a, rows) for b in batches for a in range(0, b.num_rows, rows))

@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = spread_join(both.filter("b > a"), least, "a", F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         # every edge now leads from a node to a smaller one
-        small = spread_join(large, large.groupBy("a").agg(F.min("b").alias("m")), "a", F.col("b"))
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         out = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         old, now = now, materialise(out, "edges")
         discard(old)

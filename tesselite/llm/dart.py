@@ -460,7 +460,8 @@ def classes(documents: DataFrame, *, similarity: float = SIMILARITY, weighting:
     stars = materialise(members.filter("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     links = materialise(verify(stars, sets, similarity), "links")
     found = components(links)
-    named = spread_join(members, found, "row", F.col("bucket"), left=True).withColumn("component", F.coalesce("component", "row"))
+    # a row is a member of at most as many buckets as there are bands; a pivot may have any number of members
+    named = members.join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
     home = found.select(F.col("row").alias("pivot"), F.col("component").alias("home"))
     named = spread_join(named, home, "pivot", F.col("row"), left=True).withColumn("home", F.coalesce("home", "pivot"))
     more = _rest(named, sets, similarity)
