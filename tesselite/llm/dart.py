@@ -12,7 +12,7 @@ size.
 Documents are sets of five-word shingles (lower case, split at white space);
 weights are 1 ("presence", Jaccard of sets) or how often a shingle stands
 there ("count").  A shorter text is one shingle.  Equal texts become one
-node first.  Texts are never shuffled: one pass over them gives signatures, a second one the sorted
+node first.  No text is shuffled to compare it (``keep_one`` joins whole rows at the end): one pass over the texts gives signatures, a second one the sorted
 shingles of those that share a band with another, which a bit map of bounded size tells from
 the rest.  Nodes that share a band of a
 signature are compared exactly by their shingles, in two steps that neither list all
