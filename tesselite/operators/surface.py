@@ -15,6 +15,8 @@ from tesselite.functions import grid as g
 # Kinds of surface.
 OPAQUE, FOLIAGE, FLUID, TRANSPARENT, THIN, DECORATION, UNKNOWN = "OPAQUE_SURFACE", "FOLIAGE_SURFACE", "FLUID_SURFACE", "TRANSPARENT_STRUCTURE", "THIN_OVERLAY", "DECORATION_VISUAL", "UNKNOWN_FALLBACK"
 THIN_TOP, EPSILON = 0.25, 1e-6
+#: Block states that are broadcast; a larger registry is joined by shuffle.
+MOST_SENT = 100_000
 KEY = ["dimension", "x", "z"]
 
 
@@ -37,9 +39,10 @@ def ends_walk(kind: Column) -> Column:
 
 
 def classified(voxels: DataFrame, registry: DataFrame) -> DataFrame:
-    """Voxels with their block's properties.  The registry of block states is a small dimension table."""
+    """Voxels with their block's properties.  The registry of block states is broadcast if counting finds few enough of them."""
     known = registry.select("material", classify().alias("kind"), "fluid", F.col("map_color").alias("own_color"), F.when(F.col("fluid") & ~F.col("sturdy_top"), F.col("fluid_color")).otherwise(F.col("map_color")).alias("seen_color"))
-    return voxels.join(F.broadcast(known), "material").filter(F.col("kind").isNotNull())
+    few = registry.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return voxels.join(F.broadcast(known) if few else known, "material").filter(F.col("kind").isNotNull())
 
 
 def complete_jobs(jobs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -305,6 +305,17 @@ def tile_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.existing(r, s).select("request_id", F.lit(True).alias("stored")).unionByName(store.missing(r, s).select("request_id", F.lit(False).alias("stored")))
 
 
+@query(f"WITH {REQUESTS}, {STORED}, gn AS (SELECT zoom, x, y FROM rq WHERE request_id % 10 = 0), fr AS (SELECT DISTINCT zoom, x, y FROM rq WHERE request_id % 10 = 1) SELECT zoom, x, y, false AS fresh FROM st ANTI JOIN gn USING (zoom, x, y) ANTI JOIN fr USING (zoom, x, y) UNION ALL SELECT zoom, x, y, true FROM fr")
+def changed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored tiles after some were deleted and others put in their place."""
+    from tesselite.sources import store
+
+    r, key = fx.tile_requests(spark, sf_dir), ["dimension", "zoom", "x", "y"]
+    tiles = lambda rows, fresh: rows.select(*key).distinct().withColumn("fresh", F.lit(fresh))
+    left = store.without(tiles(fx.stored_tiles(spark, sf_dir), False), r.filter("request_id % 10 = 0"))
+    return store.merged(left, tiles(r.filter("request_id % 10 = 1"), True)).drop("dimension")
+
+
 # --- surface and raster ----------------------------------------------------------------------------------------------
 
 
@@ -561,6 +572,30 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.outcomes(e)
 
 
+_WORLD_VERSION = _VERSION.format(world="'world'", dim="'minecraft:overworld'")
+
+
+@query(f"""WITH v AS (SELECT {_WORLD_VERSION} AS tileset_version) SELECT tileset_version, '{{"tilesetVersion":"' || tileset_version || '","world":"world","profile":"fast","resourcePackHash":"default-pack","rendererVersion":"renderer-v2","materialTableHash":"vanilla-map-colors","format":"png","quality":85,'
+  || '"tileGrid":{{"mode":"online-signed","tileSize":256,"maxZoom":8,"minZoom":0,"pixelsPerBlockAtMaxZoom":2,"tileOriginX":0,"tileOriginZ":0}}}}' AS value FROM v""")
+def tileset_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return publish.metadata(spark, Settings(), WORLD)
+
+
+@query(f"""WITH {STORED}, e AS (SELECT coalesce(min(x), 0) AS ax, coalesce(min(y), 0) AS ay, coalesce(max(x), 0) AS bx, coalesce(max(y), 0) AS by_ FROM st WHERE zoom = 8)
+SELECT '{{"crs":"MC:BLOCK_XZ","world":"world","dimension":"minecraft:overworld","defaultDimension":"minecraft:overworld","dimensions":["minecraft:overworld","minecraft:the_nether","minecraft:the_end"],"dataCoordinate":"block-xz","tileCoordinateMode":"online-signed","profile":"fast","tilesetVersion":"' || {_WORLD_VERSION}
+  || '","rendererVersion":"renderer-v2","materialTableHash":"vanilla-map-colors","resourcePackHash":"default-pack","format":"png","quality":85,"tileUrlTemplate":"/tiles/raster/{{world}}/{{dimension}}/{{profile}}/{{tilesetVersion}}/{{z}}/x{{x}}/y{{y}}.png","markerMode":"off","markerPollIntervalMs":2000,"pendingTileRetryMs":1500,'
+  || '"tileGrid":{{"mode":"online-signed","tileSize":256,"minZoom":0,"maxZoom":8,"pixelsPerBlockAtMaxZoom":2,"blocksPerTileAtMaxZoom":128,"tileOriginX":0,"tileOriginZ":0,"minSignedTileX":' || ax || ',"minSignedTileY":' || ay || ',"maxSignedTileX":' || bx || ',"maxSignedTileY":' || by_ || ',"normalizedOffsetX":' || ax || ',"normalizedOffsetY":' || ay || '}}}}' AS document FROM e""")
+def manifest_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return publish.manifest(spark, Settings(), WORLD, t.signed_extent(fx.stored_tiles(spark, sf_dir), 8)).select("document")
+
+
+@query(f"""WITH h AS ({ORACLE_SQL["health"]}) SELECT '{{"alive":true,"tilesetVersion":"v1","renderJobQueueDepth":3,"ancestorDirtyBacklog":4,"pendingDirtyChunks":5,"schedulerPaused":false,"currentTps":19.5000,"renderedJobs":' || rendered || ',"failedJobs":' || failed || ',"droppedJobs":' || dropped
+  || ',"refreshedAncestors":' || refreshed || ',"tileCacheHits":' || hit || ',"tileCacheMisses":' || miss || ',"cacheHitRatio":' || printf('%.4f', hit_ratio) || ',"snapshotTimeMs":12,"metatileRenderMs":7.2500,"tileWriteLatencyMs":0,"lastFailure":"' || last_failure || '"}}' AS document FROM h""")
+def health_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gauges = {"alive": True, "tileset_version": "v1", "queue_depth": 3, "ancestor_backlog": 4, "pending_chunks": 5, "paused": False, "tps": 19.5, "snapshot_ms": 12.0, "render_ms": 7.25, "write_ms": 0.0}
+    return publish.health_document(health(spark, sf_dir).withColumns({k: F.lit(v) for k, v in gauges.items()})).select("document")
+
+
 @query("""SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'building' ELSE 'survival' END AS server_mode, CASE WHEN c_nationkey % 3 = 0 THEN NULL WHEN c_nationkey % 5 > 1 THEN CAST(c_nationkey % 5 * 1000 AS BIGINT) ELSE CAST(2000 AS BIGINT) END AS poll_ms, CASE WHEN c_nationkey % 2 = 0 THEN 304 ELSE 200 END AS status FROM (SELECT c_custkey, c_mktsegment, CASE WHEN c_nationkey % 5 = 1 THEN 5 * c_nationkey ELSE c_nationkey END AS c_nationkey FROM customer)""")
 def client_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Server modes from configuration values, poll intervals and validators of clients."""

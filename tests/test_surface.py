@@ -115,3 +115,14 @@ def test_a_column_is_shuffled_once(spark):
     assert plan.count("Window") >= 1 and F is not None
     executed = surface.surfaces(vox, fx.registry(spark), 0)._jdf.queryExecution().executedPlan().toString()
     assert executed.count("Exchange hashpartitioning") <= 2
+
+
+def test_a_large_registry_is_not_broadcast(spark, monkeypatch):
+    voxels = spark.createDataFrame([("d", k, 0, k % 3, k % 17) for k in range(200)], "dimension string, x long, y long, z long, material int")
+    registry = fx.registry(spark)
+    sent = surface.classified(voxels, registry)
+    assert "BroadcastHashJoin" in sent._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(surface, "MOST_SENT", 3)
+    dealt = surface.classified(voxels, registry)
+    assert "Broadcast" not in dealt._jdf.queryExecution().executedPlan().toString()
+    assert dealt.exceptAll(sent).isEmpty() and sent.exceptAll(dealt).isEmpty()
