@@ -86,14 +86,21 @@ def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
-def spread_join(rows: DataFrame, few: DataFrame, key: str | list[str], by: Column, left: bool = False, salts: int = SALTS) -> DataFrame:
+def merge_join(rows: DataFrame, other: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join by sorting alone.  A broadcast takes the driver a thread and some MB, which stay until it collects garbage; an operator
+    of very many small joins would fill its memory with them."""
+    return rows.join(other.hint("merge"), on, how)
+
+
+def spread_join(rows: DataFrame, few: DataFrame, key: str | list[str], by: Column, left: bool = False, salts: int = SALTS, merge: bool = False) -> DataFrame:
     """``rows`` join ``few`` (inner, or left), which holds each value of ``key`` once; of ``rows`` one value may hold any share.
     Each value's row goes to as many salts as the value has among ``rows`` (at most ``salts``), counted where the
-    rows are, so that no task meets all rows of a hot value.  by: what deals a value's rows."""
+    rows are, so that no task meets all rows of a hot value.  by: what deals a value's rows.  merge: as ``merge_join``."""
+    join = merge_join if merge else DataFrame.join
     keys = [key] if isinstance(key, str) else key
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
-    met = salted.select(*keys, "_salt").distinct().join(few, keys)
-    return salted.join(met, [*keys, "_salt"], "left" if left else "inner").drop("_salt")
+    met = join(salted.select(*keys, "_salt").distinct(), few, keys, "inner")
+    return join(salted, met, [*keys, "_salt"], "left" if left else "inner").drop("_salt")
 
 
 def whole_row(df: DataFrame) -> Column:

@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselite.llm import hashing
-from tesselite.llm._util import discard, map_texts, materialise, spread_join, whole_row
+from tesselite.llm._util import discard, map_texts, materialise, merge_join, spread_join, whole_row
 from tesselite.llm.components import components
 
 SHINGLE = 5
@@ -300,7 +300,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, weighting: str) -> DataFrame:
 
     made = map_texts(texts, run, "node binary, items binary")
     # grouped and joined by one dealing of the shingles
-    return materialise(made.groupBy("node").agg(F.first("items").alias("items")).join(wanted, "node").select("row", "items"), "shingles")
+    return materialise(merge_join(made.groupBy("node").agg(F.first("items").alias("items")), wanted, "node").select("row", "items"), "shingles")
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -317,9 +317,9 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are as similar.  Sets of many a meet one copy of b's set at a time: they are sorted
     behind it in their partition, and a b with many a has several copies."""
     few = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).alias("parts"))
-    dealt = spread_join(pairs, few, "b", F.col("a")).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
-    members = dealt.join(sets.select(F.col("row").alias("a"), "items"), "a").select("b", "part", F.lit(1).alias("role"), "a", "items")
-    pivots = few.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(sets.withColumnRenamed("row", "b"), "b").select("b", "part", F.lit(0).alias("role"), F.col("b").alias("a"), "items")
+    dealt = spread_join(pairs, few, "b", F.col("a"), merge=True).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
+    members = merge_join(dealt, sets.select(F.col("row").alias("a"), "items"), "a").select("b", "part", F.lit(1).alias("role"), "a", "items")
+    pivots = merge_join(few.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")), sets.withColumnRenamed("row", "b"), "b").select("b", "part", F.lit(0).alias("role"), F.col("b").alias("a"), "items")
     rows = pivots.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,11 +348,11 @@ def _rarest(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             tokens = [np.frombuffer(i, np.int64) for i in b.column("items").to_pylist()]
             yield pa.RecordBatch.from_pydict({"row": b.column("row"), "size": pa.array(list(map(len, tokens)), pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
 
-    listed = map_texts(rows.select("row").distinct().join(sets, "row"), run, "row bigint, size bigint, tokens array<bigint>")
+    listed = map_texts(merge_join(rows.select("row").distinct(), sets, "row"), run, "row bigint, size bigint, tokens array<bigint>")
     each = materialise(listed.select("row", "size", F.explode("tokens").alias("token")), "tokens")
     often = each.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     # a row's list is as long as its text
-    sorted_ = each.join(often, "token", "left").groupBy("row", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("t"))
+    sorted_ = merge_join(each, often, "token", "left").groupBy("row", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("t"))
     least = F.floor(F.col("size") * COMMON) + 1
     most = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + least
     out = materialise(sorted_.select("row", "size", least.alias("least"), F.explode(F.transform(F.filter(F.slice("t", 1, most.cast("int")), lambda x: x["n"] > 1), lambda x: x["token"])).alias("token")), "rarest")
@@ -368,40 +368,43 @@ def _rest(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     ask = materialise(members.filter(outside).select("bucket", "home", "row", "component").distinct(), "outside")
     if ask.isEmpty():
         return ask.select(F.col("row").alias("a"), F.col("row").alias("b"))
-    held = ask.select("home", "row", "component").distinct()
-    asked = materialise(members.select("bucket", "row", "component").join(ask.select("bucket", "home").distinct(), "bucket").select("home", "row", "component").distinct(), "asked")
+    answer = merge_join(members.select("bucket", "row", "component"), ask.select("bucket", "home").distinct(), "bucket").select("home", "row", "component", F.lit(False).alias("asks"))
+    asked = answer.unionByName(ask.select("home", "row", "component", F.lit(True).alias("asks")))
+    asked = materialise(asked.groupBy("home", "row", "component").agg(F.max("asks").alias("asks")), "asked")
     rare = _rarest(asked, sets, similarity)
-    mine = rare.join(held, "row").select("home", "token", F.col("row").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("least").alias("la"))
-    theirs = rare.join(asked, "row").select("home", "token", F.col("row").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("least").alias("lb"))
-    counts = mine.groupBy("home", "token").agg(F.count("*").alias("m")).join(theirs.groupBy("home", "token").agg(F.count("*").alias("k")), ["home", "token"])
+    each = materialise(merge_join(rare, asked, "row"), "held")
+    discard(ask, asked, rare)
+    counts = each.groupBy("home", "token").agg(F.count_if("asks").alias("m"), F.count("*").alias("k")).filter("m > 0")
     counts = materialise(counts.select("home", "token", (F.col("m") * F.col("k") > PROPOSED).alias("hot")), "proposals")
     cold, hot = counts.filter("not hot").drop("hot"), counts.filter("hot").drop("hot")
+    mine = each.filter("asks").select("home", "token", F.col("row").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("least").alias("la"))
+    theirs = each.select("home", "token", F.col("row").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("least").alias("lb"))
     alike = (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9)
-    pairs = mine.join(cold, ["home", "token"]).join(theirs, ["home", "token"]).filter(alike)
+    pairs = merge_join(merge_join(mine, cold, ["home", "token"]), theirs, ["home", "token"]).filter(alike)
     # a pair that shares a hot shingle meets in blocks; of any other all that it shares is counted here
     enough = pairs.groupBy("home", "a", "b").agg(F.count("*").alias("n"), F.first(F.least("la", "lb")).alias("least")).filter("n >= least")
     pairs = materialise(enough.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = verify(pairs, sets, similarity)
+    meet = None
     if not hot.isEmpty():
-        there = lambda side, name: side.join(hot, ["home", "token"]).select("home", F.col(name).alias("row")).distinct()
-        links = links.unionByName(_blocks(held.join(there(mine, "a"), ["home", "row"]), asked.join(there(theirs, "b"), ["home", "row"]), sets, similarity))
+        meet = materialise(merge_join(each, hot, ["home", "token"]).select("home", "row", "component", "asks").distinct(), "meet")
+        links = links.unionByName(_blocks(meet, sets, similarity))
     out = materialise(links, "links")
-    discard(ask, asked, rare, counts, pairs)
+    discard(each, counts, pairs, *([] if meet is None else [meet]))
     return out
 
 
-def _blocks(held: DataFrame, asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between rows (home, row, component) of one home.  Those that ask are held in parts of HELD, with an index
-    of their shingles, and the others come by in parts of PASSING; one look-up counts what a row shares with all that are held."""
-    held = held.join(held.groupBy("home").agg(F.ceil(F.count("*") / HELD).alias("parts")), "home").withColumn("i", F.pmod(F.xxhash64("row"), F.col("parts")))
-    asked = asked.join(held.groupBy("home").agg(F.max("parts").alias("parts")), "home")
-    blocks = asked.groupBy("home").agg(F.ceil(F.count("*") / PASSING).alias("blocks"))
+def _blocks(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between rows (home, row, component, asks) of one home.  Those that ask are held in parts of HELD, with an index
+    of their shingles, and all come by in parts of PASSING; one look-up counts what a row shares with all that are held."""
+    sizes = rows.groupBy("home").agg(F.ceil(F.count_if("asks") / HELD).alias("parts"), F.ceil(F.count("*") / PASSING).alias("blocks")).filter("parts > 0")
+    sized = spread_join(rows, sizes, "home", F.col("row"), merge=True)
     up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    held = held.join(blocks, "home").withColumn("j", up_to("blocks")).withColumn("role", F.lit(0))
-    asked = asked.join(blocks, "home").withColumn("j", F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks"))).withColumn("i", up_to("parts")).withColumn("role", F.lit(1))
+    held = sized.filter("asks").withColumn("i", F.pmod(F.xxhash64("row"), F.col("parts"))).withColumn("j", up_to("blocks")).withColumn("role", F.lit(0))
+    asked = sized.withColumn("j", F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks"))).withColumn("i", up_to("parts")).withColumn("role", F.lit(1))
     key = ["home", "i", "j", "role"]
-    rows = held.select(*key, "row", "component").unionByName(asked.select(*key, "row", "component")).join(sets, "row")
-    dealt = rows.select(*key, "row", "component", "items").repartition("home", "i", "j").sortWithinPartitions(*key)
+    both = merge_join(held.select(*key, "row", "component").unionByName(asked.select(*key, "row", "component")), sets, "row")
+    dealt = both.select(*key, "row", "component", "items").repartition("home", "i", "j").sortWithinPartitions(*key)
     columns = dealt.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,30 +451,31 @@ def classes(documents: DataFrame, *, similarity: float = SIMILARITY, weighting:
     """(key, row, node) of every row, and (node, component, class_id) of every distinct text."""
     signed = materialise(signatures(documents, weighting), "signatures")
     nodes = materialise(signed.groupBy("node").agg(F.min("key").alias("first_id"), F.min(F.when(F.col("own"), F.col("row"))).alias("row")), "nodes")
-    banded = signed.filter("own").select("row", "bands").join(nodes.select("row"), "row").select("row", F.explode("bands").alias("bucket"))
+    banded = merge_join(signed.filter("own").select("row", "bands"), nodes.select("row"), "row").select("row", F.explode("bands").alias("bucket"))
     full = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = materialise(banded.join(full, "bucket"), "buckets")
+    buckets = materialise(merge_join(banded, full, "bucket"), "buckets")
     popular = buckets.groupBy("row").agg(F.sum("n").alias("popular"))
-    pivots = buckets.join(popular, "row").groupBy("bucket").agg(F.max_by("row", F.struct("popular", "row")).alias("pivot"))
-    members = materialise(buckets.join(pivots, "bucket"), "members")
+    pivots = merge_join(buckets, popular, "row").groupBy("bucket").agg(F.max_by("row", F.struct("popular", "row")).alias("pivot"))
+    members = materialise(merge_join(buckets, pivots, "bucket"), "members")
     discard(buckets)
-    wanted = materialise(nodes.select("node", "row").join(members.select("row").distinct(), "row", "left_semi"), "wanted")
+    wanted = materialise(merge_join(nodes.select("node", "row"), members.select("row").distinct(), "row", "left_semi"), "wanted")
     sets = _sets(documents, wanted, weighting)
     stars = materialise(members.filter("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     links = materialise(verify(stars, sets, similarity), "links")
     found = components(links)
     # a row is a member of at most as many buckets as there are bands; a pivot may have any number of members
-    named = members.join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    named = merge_join(members, found, "row", "left").withColumn("component", F.coalesce("component", "row"))
     home = found.select(F.col("row").alias("pivot"), F.col("component").alias("home"))
-    named = spread_join(named, home, "pivot", F.col("row"), left=True).withColumn("home", F.coalesce("home", "pivot"))
+    named = materialise(spread_join(named, home, "pivot", F.col("row"), left=True, merge=True).withColumn("home", F.coalesce("home", "pivot")), "named")
+    discard(members, stars, wanted)
     more = _rest(named, sets, similarity)
-    discard(members, stars, sets, wanted)
+    discard(named, sets)
     if not more.isEmpty():
-        old, found = found, components(links.unionByName(more))
+        old, found = found, components(found.select(F.col("row").alias("a"), F.col("component").alias("b")).unionByName(more))
         discard(old)
-    whole = nodes.join(found, "row", "left").withColumn("component", F.coalesce(F.col("component").cast("string"), F.hex("node")))
+    whole = merge_join(nodes, found, "row", "left").withColumn("component", F.coalesce(F.col("component").cast("string"), F.hex("node")))
     ids = whole.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    out = materialise(spread_join(whole, ids, "component", F.col("node")).select("node", "component", "class_id"), "classes")
+    out = materialise(spread_join(whole, ids, "component", F.col("node"), merge=True).select("node", "component", "class_id"), "classes")
     rows = materialise(signed.select("key", "row", "node"), "rows")
     discard(signed, nodes, links, more, found)
     return rows, out
@@ -480,14 +484,14 @@ def classes(documents: DataFrame, *, similarity: float = SIMILARITY, weighting:
 def near_copies(documents: DataFrame, *, similarity: float = SIMILARITY, weighting: str = "presence") -> DataFrame:
     """(doc_id, class_id) of every row."""
     rows, named = classes(documents, similarity=similarity, weighting=weighting)
-    return spread_join(rows, named, "node", F.col("row")).select(F.col("key").alias("doc_id"), "class_id")
+    return spread_join(rows, named, "node", F.col("row"), merge=True).select(F.col("key").alias("doc_id"), "class_id")
 
 
 def keep_one(documents: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, with the documents' own columns: that of the class's id.  Of several rows with that id the
     one with the least text counts, and of equal texts the one that is greatest as JSON."""
     rows, named = classes(documents, similarity=similarity)
-    named_rows = spread_join(rows, named, "node", F.col("row")).filter(F.col("key").eqNullSafe(F.col("class_id")))
+    named_rows = spread_join(rows, named, "node", F.col("row"), merge=True).filter(F.col("key").eqNullSafe(F.col("class_id")))
     chosen = materialise(named_rows.groupBy("component").agg(F.min(F.struct("node", "key")).alias("c"), F.count("*").alias("n")).select("c.node", "c.key", "n"), "chosen")
     own = documents.select(whole_row(documents).alias("_doc"), F.col("doc_id").alias("_id"), _node(F.col("text")).alias("_node"))
     met = own.join(chosen, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("key")))
