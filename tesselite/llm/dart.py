@@ -375,22 +375,24 @@ def _rest(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     each = materialise(merge_join(rare, asked, "row"), "held")
     discard(ask, asked, rare)
     counts = each.groupBy("home", "token").agg(F.count_if("asks").alias("m"), F.count("*").alias("k")).filter("m > 0")
-    counts = materialise(counts.select("home", "token", (F.col("m") * F.col("k") > PROPOSED).alias("hot")), "proposals")
-    cold, hot = counts.filter("not hot").drop("hot"), counts.filter("hot").drop("hot")
-    mine = each.filter("asks").select("home", "token", F.col("row").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("least").alias("la"))
-    theirs = each.select("home", "token", F.col("row").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("least").alias("lb"))
+    # a shingle that most rows of a home hold is dealt among tasks; of what is left behind, a shingle's rows are few
+    told = materialise(spread_join(each, counts.select("home", "token", (F.col("m") * F.col("k") > PROPOSED).alias("hot")), ["home", "token"], F.col("row"), merge=True), "told")
+    discard(each)
+    cold, hot = told.filter("not hot"), told.filter("hot")
+    mine = cold.filter("asks").select("home", "token", F.col("row").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("least").alias("la"))
+    theirs = cold.select("home", "token", F.col("row").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("least").alias("lb"))
     alike = (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9)
-    pairs = merge_join(merge_join(mine, cold, ["home", "token"]), theirs, ["home", "token"]).filter(alike)
+    pairs = merge_join(mine, theirs, ["home", "token"]).filter(alike)
     # a pair that shares a hot shingle meets in blocks; of any other all that it shares is counted here
     enough = pairs.groupBy("home", "a", "b").agg(F.count("*").alias("n"), F.first(F.least("la", "lb")).alias("least")).filter("n >= least")
     pairs = materialise(enough.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = verify(pairs, sets, similarity)
     meet = None
     if not hot.isEmpty():
-        meet = materialise(merge_join(each, hot, ["home", "token"]).select("home", "row", "component", "asks").distinct(), "meet")
+        meet = materialise(hot.select("home", "row", "component", "asks").distinct(), "meet")
         links = links.unionByName(_blocks(meet, sets, similarity))
     out = materialise(links, "links")
-    discard(each, counts, pairs, *([] if meet is None else [meet]))
+    discard(told, pairs, *([] if meet is None else [meet]))
     return out
 
 
