@@ -87,8 +87,8 @@ def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def merge_join(rows: DataFrame, other: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
-    """A join by sorting alone.  A broadcast takes the driver a thread and some MB, which stay until it collects garbage; an operator
-    of very many small joins would fill its memory with them."""
+    """A join by sorting alone, for operators of very many small joins: each broadcast would take the driver a job, a thread and
+    memory that stays until it collects garbage."""
     return rows.join(other.hint("merge"), on, how)
 
 
